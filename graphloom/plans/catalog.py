@@ -2,10 +2,603 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import globs, paths, post
+from graphloom.operators import analysis, graph, iterate, lint
+from graphloom.operators.lint import Evaluation
+from graphloom.plans import virtual
+from graphloom.plans.virtual import SQL
+from graphloom.schema import SYMBOL_KINDS, VISIBILITIES, decoded
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = SQL + sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _g(spark: SparkSession, sf_dir: str, variant: str = "dense") -> graph.CodeGraph:
+    return virtual.graph(spark, sf_dir, variant)
+
+
+def _names(column: str = "imported_names") -> "F.Column":
+    return F.array_join(column, ",").alias("names")
+
+
+# ------------------------------------------------------------------ sources and predicates
+
+@query("select path, regexp_extract(path, '\\.([^./]+)$', 1) as extension, language from nodes")
+def src4_language_by_extension(spark, d):
+    p = F.col("path")
+    return virtual.nodes(spark, d).select("path", paths.extension(p).alias("extension"), paths.language(p).alias("language"))
+
+
+@query("select id, path from nodes where language in ('java', 'rust')")
+def src5_language_filter(spark, d):
+    return virtual.nodes(spark, d).where(F.col("language").isin("java", "rust")).select("id", "path")
+
+
+@query("select * exclude (l_comment_) from (select file_id, name as exported_name, is_default, is_reexport, 0 as l_comment_ from exports) order by file_id")
+def src8_full_scan_ordered(spark, d):
+    return virtual.export_rows(spark, d).select("file_id", "exported_name", "is_default", "is_reexport").orderBy("file_id")
+
+
+@query("select id, path, language from nodes where id = 7")
+def src9_point_lookup_id(spark, d):
+    return virtual.nodes(spark, d).where("id = 7").select("id", "path", "language")
+
+
+@query("select id, path from nodes where path = (select path from nodes where id = 3)")
+def src10_point_lookup_path(spark, d):
+    n = virtual.nodes(spark, d)
+    return n.where(F.col("path") == n.where("id = 3").select("path").scalar()).select("id", "path")
+
+
+@query("select id, path from nodes where path like '%/s5.rs' order by path limit 1")
+def src11_lookup_by_suffix(spark, d):
+    return graph.find_file(virtual.nodes(spark, d), "s5.rs").select("id", "path")
+
+
+@query("select id, name from symbols where kind = 'class' and visibility = 'public'")
+def prd1_symbols_by_kind(spark, d):
+    return virtual.symbols(spark, d).where("kind = 'class' and visibility = 'public'").select("id", "name")
+
+
+@query("select name as exported_name from exports where file_id = 4")
+def prd2_exports_by_file(spark, d):
+    return virtual.export_rows(spark, d).where("file_id = 4").select("exported_name")
+
+
+@query("select path from nodes where (regexp_matches(path, '^src/ASIA/.*$') or regexp_matches(path, '^.*\\.rs$')) and not regexp_matches(path, '^.*/s[0-3][^/]*\\.rs$')")
+def prd3_multi_glob(spark, d):
+    return virtual.nodes(spark, d).where(globs.file_matcher(F.col("path"), ["src/ASIA/**", "**/*.rs", "!**/s[0-3]*.rs"])).select("path")
+
+
+@query("select path from nodes where regexp_matches(path, '^src/(AFRICA|EUROPE)/.*\\.ts$')")
+def prd4_single_glob(spark, d):
+    return virtual.nodes(spark, d).where(globs.matches_glob(F.col("path"), "src/{AFRICA,EUROPE}/**/*.ts")).select("path")
+
+
+@query("select substr(path, 5) as rel from nodes")
+def prd5_relative_path(spark, d):
+    return virtual.nodes(spark, d).select(paths.relative(F.col("path"), "src").alias("rel"))
+
+
+@query("select path from nodes where regexp_matches(path, 's[0-9]*5\\.')")
+def prd6_regex(spark, d):
+    return virtual.nodes(spark, d).where(F.col("path").rlike(r"s[0-9]*5\.")).select("path")
+
+
+@query("select id, case when kind = 'export' then 'export' else kind end as kind, case when visibility in ('public', 'private', 'protected') then visibility else 'private' end as visibility from symbols")
+def prd9_decode_defaults(spark, d):
+    return virtual.symbols(spark, d).select("id", decoded(F.col("kind"), SYMBOL_KINDS, "variable").alias("kind"), decoded(F.col("visibility"), VISIBILITIES, "private").alias("visibility"))
+
+
+# ------------------------------------------------------------------ graph
+
+@query("select src, dst, array_to_string(names, ',') as names, is_type_only, is_mod as is_mod_declaration, line from edges")
+def grf1_build_edges(spark, d):
+    e = graph.build_edges(virtual.edge_rows(spark, d))
+    return e.select("src", "dst", _names(), "is_type_only", "is_mod_declaration", "line")
+
+
+@query("select kind, count(*) as n, count(distinct file_id) as files from unresolved group by kind")
+def grf2_unresolved(spark, d):
+    return _g(spark, d).unresolved.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("files"))
+
+
+@query("""select path, regexp_matches(stem, '^(index|main|app|server|cli)$') or (language = 'java' and regexp_matches(stem, '^Test|(Test|Tests|IT|Application)$'))
+    or (language = 'rust' and stem in ('lib', 'build')) or stem = 's11' as is_entry_point from nodes""")
+def grf3_grf5_entry_points(spark, d):
+    n = virtual.nodes(spark, d).drop("is_entry_point")
+    return graph.mark_entry_points(n, patterns=["**/s11.*"]).select("path", "is_entry_point")
+
+
+@query("select id, path from nodes where id in (select file_id from unresolved where import_path in ('pkg10', 'pkg20', 'pkg30'))")
+def grf4_entry_by_annotation(spark, d):
+    imports = virtual.unresolved_rows(spark, d).select("file_id", F.concat(F.lit("@annotation:"), "import_path").alias("source_path"))
+    marked = graph.mark_entry_points(virtual.nodes(spark, d).drop("is_entry_point"), graph.entry_points_by_annotation(imports, ["pkg10", "pkg20", "pkg30"]))
+    return marked.where("is_entry_point").select("id", "path")
+
+
+@query("select source_id, target_id, kind from refs where source_id in (select id from symbols) and target_id in (select id from symbols)")
+def grf6_symbol_graph(spark, d):
+    return virtual.symbol_graph(spark, d).refs.select("source_id", "target_id", "kind")
+
+
+@query("select src, dst, line from edges where not is_type_only")
+def grf7_runtime_only(spark, d):
+    return _g(spark, d).without_type_only().edges.select("src", "dst", "line")
+
+
+@query("select src, dst, line from edges where not is_mod")
+def grf8_without_mod_declarations(spark, d):
+    return _g(spark, d).without_mod_declarations().edges.select("src", "dst", "line")
+
+
+@query("select src, dst from ends where s like 'src/A%' and t like 'src/A%'")
+def grf9_path_filter(spark, d):
+    return _g(spark, d).filtered("src/A**").edges.select("src", "dst")
+
+
+@query("select count(*) as symbols, (select count(*) from refs where source_id % (select n from total) <> 3 and target_id % (select n from total) <> 3) as refs from symbols where file_id <> 3")
+def grf12_remove_file(spark, d):
+    s = virtual.symbol_graph(spark, d).without_file(3)
+    return s.symbols.agg(F.count("*").alias("symbols")).select("symbols", s.refs.agg(F.count("*")).scalar().alias("refs"))
+
+
+@query("select distinct dst as id from edges where src = 1 order by id")
+def grf13_direct_imports(spark, d):
+    return _g(spark, d).imports_of(1)
+
+
+@query("select (select count(*) from nodes) as file_count, (select count(*) from edges) as import_count, (select count(*) from unresolved) as unresolved_count, (select count(*) from exports) as export_count")
+def grf14_counts(spark, d):
+    return _g(spark, d).counts()
+
+
+@query("select distinct file_id from unresolved")
+def grf15_files_with_unresolved(spark, d):
+    return _g(spark, d).with_unresolved_imports()
+
+
+@query("select id, path from nodes where entry")
+def grf16_entry_points(spark, d):
+    return _g(spark, d).entry_points().select("id", "path")
+
+
+# ------------------------------------------------------------------ joins and aggregations
+
+@query("select y.name, coalesce(n.path, 'file:' || y.file_id) as path from symbols y left join nodes n on n.id = y.file_id and n.language <> 'rust'")
+def jn1_symbols_with_files(spark, d):
+    n = virtual.nodes(spark, d).where("language <> 'rust'").select(F.col("id").alias("f"), "path")
+    s = virtual.symbols(spark, d)
+    return s.join(n, s.file_id == n.f, "left").select("name", F.coalesce("path", F.concat(F.lit("file:"), F.col("file_id").cast("string"))).alias("path"))
+
+
+@query("""select r.kind, coalesce(a.name, '?') as source, coalesce(b.name, '?') as target, coalesce(n.path, '?') as path
+    from refs r left join symbols a on a.id = r.source_id left join symbols b on b.id = r.target_id left join nodes n on n.id = a.file_id""")
+def jn2_references_resolved(spark, d):
+    s, n = virtual.symbols(spark, d), virtual.nodes(spark, d)
+    a = s.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "file_id")
+    b = s.select(F.col("id").alias("target_id"), F.col("name").alias("target"))
+    r = virtual.refs(spark, d).join(a, "source_id", "left").join(b, "target_id", "left").join(n.select(F.col("id").alias("file_id"), "path"), "file_id", "left")
+    q = F.lit("?")
+    return r.select("kind", F.coalesce("source", q).alias("source"), F.coalesce("target", q).alias("target"), F.coalesce("path", q).alias("path"))
+
+
+@query("select source_id, target_id, kind from refs where source_id in (select id from symbols where file_id = 2) or target_id in (select id from symbols where file_id = 2)")
+def jn3_references_touching_file(spark, d):
+    own = virtual.symbols(spark, d).where("file_id = 2").select("id")
+    r = virtual.refs(spark, d)
+    return r.join(own, r.source_id == own.id, "left_semi").unionByName(r.join(own, r.target_id == own.id, "left_semi")).distinct()
+
+
+@query("select source_id, target_id from refs where kind = 'call' and target_id in (select id from symbols where kind = 'function')")
+def jn4_callers_of_functions(spark, d):
+    f = virtual.symbols(spark, d).where("kind = 'function'").select(F.col("id").alias("target_id"))
+    return virtual.refs(spark, d).where("kind = 'call'").join(f, "target_id", "left_semi").select("source_id", "target_id")
+
+
+@query("select language, count(*) as files from nodes group by language")
+def agg2_files_by_language(spark, d):
+    return analysis.by_language(_g(spark, d))
+
+
+@query("""select (select count(*) from nodes) as files, (select count(*) from nodes where entry) as entry_points, (select count(*) from blocked) as imports, (select count(*) from unresolved) as unresolved,
+    (with recursive lv as (select id from nodes where entry union select b.dst from lv join blocked b on b.src = lv.id) select count(*) from nodes where not entry and id not in (select id from lv)) as dead_files,
+    (with recursive u as (select distinct dst as file_id, unnest(names) as name from blocked),
+      r as (select distinct e.file_id as barrel, x.dst as target, e.name from exports e join (select src, dst, unnest(names) as name from blocked) x on x.src = e.file_id and x.name = e.name where e.is_reexport),
+      sp as (select file_id, name from u union select r.target, sp.name from sp join r on r.barrel = sp.file_id and (r.name = '*' or r.name = sp.name))
+      select count(*) from exports e join nodes n on n.id = e.file_id and not n.entry where not e.is_reexport and not exists (select 1 from sp where sp.file_id = e.file_id and sp.name = e.name)) as dead_exports,
+    (select count(*) from exports) as exports, (select count(distinct component) from scc) as cycles, (select count(*) from scc) as files_in_cycles""")
+def agg3_project_summary(spark, d):
+    return analysis.project_summary(_g(spark, d, "blocked"))
+
+
+@query("""select dir as directory, count(*) as files, sum(coalesce(e.n, 0))::bigint as exports, sum(coalesce(x.n, 0))::bigint as dead_exports, round(avg(coalesce(o.n, 0)), 2) as avg_fan_out, round(avg(coalesce(i.n, 0)), 2) as avg_fan_in
+    from nodes left join (select file_id, count(*) n from exports group by 1) e on e.file_id = id left join (select file_id, count(*) n from dead_exports group by 1) x on x.file_id = id
+    left join (select src, count(distinct dst) n from edges group by 1) o on o.src = id left join (select dst, count(distinct src) n from edges group by 1) i on i.dst = id group by dir""")
+def agg4_directory_summary(spark, d):
+    return analysis.directory_summary(_g(spark, d))
+
+
+@query("select id, path, coalesce(o.n, 0) as fan_out, coalesce(i.n, 0) as fan_in, round(coalesce(o.n, 0) / nullif(coalesce(o.n, 0) + coalesce(i.n, 0), 0), 6) as instability from nodes left join (select src, count(distinct dst) n from edges group by 1) o on o.src = id left join (select dst, count(distinct src) n from edges group by 1) i on i.dst = id")
+def agg5_agg6_fan_and_instability(spark, d):
+    g = _g(spark, d)
+    o = g.edges.groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("o"))
+    i = g.edges.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("i"))
+    zero = F.lit(0).cast("long")
+    n = g.nodes.join(o, "id", "left").join(i, "id", "left").select("id", "path", F.coalesce("o", zero).alias("fan_out"), F.coalesce("i", zero).alias("fan_in"))
+    return n.withColumn("instability", F.round(F.col("fan_out") / F.nullif(F.col("fan_out") + F.col("fan_in"), zero), 6))
+
+
+@query("select n.path, coalesce(e.n, 0) as exports from nodes n left join (select file_id, count(*) n from exports group by 1) e on e.file_id = n.id")
+def agg8_exports_per_file(spark, d):
+    g = _g(spark, d)
+    e = g.exports.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n"))
+    return g.nodes.join(e, "id", "left").select("path", F.coalesce("n", F.lit(0).cast("long")).alias("exports"))
+
+
+@query("select src, dst, len(names)::int as weight from edges")
+def agg9_names_per_edge(spark, d):
+    return _g(spark, d).edges.select("src", "dst", F.size("imported_names").alias("weight"))
+
+
+@query("select count(distinct component) as cycle_count, (select count(*) from scc)::bigint as files_in_cycles, coalesce(min(n), 0) as shortest, coalesce(max(n), 0) as longest, (select count(*) from nodes) as total_files from (select component, count(*) n from scc group by 1)")
+def agg12_cycle_summary(spark, d):
+    g = _g(spark, d, "blocked")
+    return analysis.cycle_summary(g, analysis.cycles(g))
+
+
+@query("select (select count(*) from nodes) as total_files, (select count(*) from nodes where entry) as entry_points, (select count(*) from dead_files) as dead_files, (select count(*) from dead_exports) as dead_exports, (select count(*) from exports) as total_exports, (select count(distinct file_id) from unresolved) as files_with_unresolved")
+def agg15_dead_code_summary(spark, d):
+    g = _g(spark, d)
+    return analysis.dead_code_summary(g, analysis.dead_files(g), analysis.dead_exports(g))
+
+
+@query("""select case when u = 0 and w then 'high' when u = 0 then 'certain' when u / greatest(e, 1) < 0.1 then 'high' when u / greatest(e, 1) < 0.3 then 'medium' else 'low' end as confidence
+    from (select (select count(*) from unresolved) as u, (select count(*) from edges) as e, (select count(*) from rules where name = '*') > 0 as w)""")
+def agg16_confidence(spark, d):
+    return analysis.overall_confidence(_g(spark, d))
+
+
+# ------------------------------------------------------------------ algorithms
+
+@query("select id from live")
+def alg1_reachable(spark, d):
+    g = _g(spark, d)
+    return iterate.reachable(g.edges, g.nodes.where("is_entry_point").select("id"))
+
+
+@query("select id, path, confidence from dead_files")
+def alg2_dead_files(spark, d):
+    return analysis.dead_files(_g(spark, d))
+
+
+@query("select file_id, name from used_all")
+def alg3_used_names(spark, d):
+    return analysis.used_names(_g(spark, d))
+
+
+@query("select file_id, name from spread")
+def alg4_reexport_propagation(spark, d):
+    return analysis.propagated_names(_g(spark, d))
+
+
+@query("select file_id, path, exported_name, line, confidence from dead_exports")
+def alg5_dead_exports(spark, d):
+    return analysis.dead_exports(_g(spark, d))
+
+
+@query(""", alive as (select y.id from symbols y join nodes n on n.id = y.file_id and n.entry where y.visibility = 'public' union select r.target_id from alive a join refs r on r.source_id = a.id)
+    select id, name, kind, file_id from symbols where kind <> 'export' and id not in (select id from alive)""")
+def alg6_dead_symbols(spark, d):
+    return analysis.dead_symbols(virtual.symbol_graph(spark, d), _g(spark, d))
+
+
+@query("select component, count(*) as length, string_agg(path, ',' order by path) as files from scc join nodes using (id) group by component")
+def alg7_cycles(spark, d):
+    return analysis.cycles(_g(spark, d, "blocked")).select("component", "length", F.array_join("files", ",").alias("files"))
+
+
+_DEPTH = """, walk as (select 1 as id, 0 as depth union select e.{b}, w.depth + 1 from walk w join edges e on e.{a} = w.id where w.depth < {m}),
+    least_depth as (select id, min(depth) as depth from walk group by id) select l.id, n.path, l.depth{more} from least_depth l join nodes n using (id) where l.depth > 0"""
+
+
+@query(_DEPTH.format(a="src", b="dst", m=4, more=""))
+def alg8_transitive_deps(spark, d):
+    return analysis.deps(_g(spark, d), 1, transitive=True, max_depth=4).select("id", "path", "depth")
+
+
+@query("select dst as id, n.path, 1 as depth, (select string_agg(x, ',' order by x) from (select distinct unnest(names) as x)) as names from edges e join nodes n on n.id = dst where src = 1")
+def alg8_agg17_direct_deps(spark, d):
+    return analysis.direct_deps(_g(spark, d), 1).select("id", "path", "depth", _names())
+
+
+@query(""", alive as (select id from symbols where file_id = 1 union select r.target_id from alive a join refs r on r.source_id = a.id) select id from alive""")
+def alg9_symbol_reachability(spark, d):
+    s = virtual.symbol_graph(spark, d)
+    return iterate.reachable(s.edges, s.symbols.where("file_id = 1").select("id"))
+
+
+@query(""", back as (select 10 as id union select r.source_id from back a join refs r on r.target_id = a.id) select id from back where id <> 10""")
+def alg10_symbol_dependents(spark, d):
+    s = virtual.symbol_graph(spark, d)
+    e = s.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return iterate.reachable(e, s.symbols.where("id = 10").select("id")).where("id <> 10")
+
+
+@query("select source_id as id from refs where target_id = 10")
+def alg11_callers(spark, d):
+    return virtual.symbol_graph(spark, d).callers(10)
+
+
+@query(_DEPTH.format(a="dst", b="src", m=3, more=", 'high' as confidence"))
+def alg12_impact(spark, d):
+    return analysis.impact(_g(spark, d), 1, 3)
+
+
+@query(_DEPTH.format(a="dst", b="src", m=3, more="").replace("select l.id, n.path, l.depth", "select l.depth, string_agg(n.path, ',' order by n.path) as files, count(*) as n") + " group by l.depth")
+def agg13_impact_by_depth(spark, d):
+    by = analysis.impact_by_depth(analysis.impact(_g(spark, d), 1, 3))
+    return by.select("depth", F.array_join("files", ",").alias("files"), "n")
+
+
+@query("select e.name as exported_name, is_default, is_reexport, exists (select 1 from used_all u where u.file_id = 2 and u.name = e.name) or (is_default and exists (select 1 from used_all u where u.file_id = 2 and u.name = 'default')) as is_used from exports e where file_id = 2")
+def alg13_export_usage(spark, d):
+    return analysis.export_usage(_g(spark, d), 2)
+
+
+@query("select count(*) as total, count(*) filter (u) as used, count(*) filter (not u) as unused from (select exists (select 1 from used_all u where u.file_id = 2 and u.name = e.name) as u from exports e where file_id = 2)")
+def agg18_export_usage_summary(spark, d):
+    return analysis.export_usage_summary(analysis.export_usage(_g(spark, d), 2))
+
+
+_SNAP = """, b as (select path, x.name from nodes n left join (select * from exports where part % 5 <> 0) x on x.file_id = n.id where n.id % 7 <> 0),
+    a as (select path, x.name from nodes n left join (select * from exports where part % 5 <> 1) x on x.file_id = n.id where n.id % 7 <> 1),
+    changes as (select path, name as exported_name, 'expanding' as change from a where name is not null and (path not in (select path from b) or (path, name) not in (select path, name from b where name is not null))
+      union all select path, name, 'breaking' from b where name is not null and (path not in (select path from a) or (path, name) not in (select path, name from a where name is not null)))"""
+
+
+@query(_SNAP + " select * from changes")
+def alg14_snapshot_diff(spark, d):
+    return analysis.diff_exports(virtual.snapshot(spark, d, 0), virtual.snapshot(spark, d, 1))
+
+
+@query(_SNAP + """ select count(*) filter (not inb) as added, count(*) filter (not ina) as removed, count(*) filter (ina and inb and c) as changed, count(*) filter (ina and inb and not c) as unchanged,
+    (select count(*) from changes where change = 'breaking') as breaking, (select count(*) from changes where change = 'expanding') as expanding
+    from (select path, path in (select path from b) as inb, path in (select path from a) as ina, path in (select path from changes) as c from (select path from a union select path from b))""")
+def agg11_diff_summary(spark, d):
+    b, a = virtual.snapshot(spark, d, 0), virtual.snapshot(spark, d, 1)
+    return analysis.diff_summary(b, a, analysis.diff_exports(b, a))
+
+
+@query("select s as src_path, t as dst_path, array_to_string(names, ',') as names, is_type_only, line from ends where regexp_matches(s, '^src/ASIA/.*$') and regexp_matches(t, '^.*\\.ts$')")
+def alg15_deps_between(spark, d):
+    return analysis.deps_between(_g(spark, d), "src/ASIA/**", "**/*.ts").select("src_path", "dst_path", _names(), "is_type_only", "line")
+
+
+# ------------------------------------------------------------------ rules
+
+def _lint(spark, d, kind: str, settings: dict, variant: str = "dense", tags: dict | None = None) -> DataFrame:
+    ev = Evaluation(_g(spark, d, variant), tags)
+    return getattr(ev, kind)(settings).select("source_file", "target_file", _names(), F.col("line").cast("long").alias("line"))
+
+
+_E = "select s as source_file, t as target_file, array_to_string(names, ',') as names, line from ends where "
+_N = "select path as source_file, path as target_file, '' as names, 0::bigint as line from nodes "
+
+
+@query(_E + "s like 'src/ASIA/%' and t like 'src/EUROPE/%' and not t like '%.rs'")
+def lnt1_boundary(spark, d):
+    return _lint(spark, d, "boundary", {"from": ["src/ASIA/**"], "deny": ["src/EUROPE/**"], "except": ["**/*.rs"]})
+
+
+_LAYER = "case when {0} like '%.ts' then 0 when {0} like 'src/A%' then 1 when {0} like '%.rs' then 2 end"
+
+
+@query(_E + _LAYER.format("s") + " > " + _LAYER.format("t"))
+def lnt2_layer(spark, d):
+    return _lint(spark, d, "layer", {"layers": [{"name": "ui", "patterns": ["**/*.ts"]}, {"name": "mid", "patterns": ["src/A**"]}, {"name": "core", "patterns": ["**/*.rs"]}]})
+
+
+@query(_E + "not s like 'src/ASIA/%' and t like 'src/ASIA/%' and not t like '%.java'")
+def lnt3_containment(spark, d):
+    return _lint(spark, d, "containment", {"module": ["src/ASIA/**"], "public_api": ["src/ASIA/**/*.java"]})
+
+
+@query(""", bad as (select s, t, line, is_type_only, list_filter(names, lambda x: x in ('p7', 'p14', 'p70', 'p140', 'p707')) as f, list_filter(names, lambda x: x not in ('p7', 'p14', 'p70', 'p140', 'p707')) as o from ends where t like '%.ts')
+    select s as source_file, t as target_file, array_to_string(names, ',') as names, line from ends where t like '%.ts' and not is_type_only
+    union all select s, t, array_to_string(f, ','), line from bad where len(f) > 0 union all select s, t, array_to_string(o, ','), line from bad where len(o) > 0""")
+def lnt4_import_restriction(spark, d):
+    some = ["p7", "p14", "p70", "p140", "p707"]
+    return _lint(spark, d, "import_restriction", {"target": ["**/*.ts"], "require_type_only": True, "forbidden_names": some, "allowed_names": some})
+
+
+@query(_N + "where id in (select src from edges group by src having count(distinct dst) > 3) union all " + _N + "where id in (select dst from edges group by dst having count(distinct src) > 2)")
+def lnt5_fan_limit(spark, d):
+    return _lint(spark, d, "fan_limit", {"pattern": ["src/**"], "max_fan_out": 3, "max_fan_in": 2})
+
+
+@query(", c as (select component, count(*) n, min(path) filter (path like '%.ts') as p from scc2 join nodes using (id) group by component) select p as source_file, p as target_file, '' as names, 0::bigint as line from c where n > 2 and p is not null")
+def lnt6_cycle_policy(spark, d):
+    return _lint(spark, d, "cycle_policy", {"pattern": ["**/*.ts"], "max_cycle_length": 2}, "blocked")
+
+
+@query(", f as (select id, (select count(distinct dst) from edges where src = id) as o, (select count(distinct src) from edges where dst = id) as i from nodes) " + _N + "where id in (select id from f where o + i > 0 and o / (o + i) > 0.6)")
+def lnt7_stability_limit(spark, d):
+    return _lint(spark, d, "stability_limit", {"pattern": ["**"], "max_instability": 0.6})
+
+
+@query(_N + "where path like '%.rs' and not regexp_matches(path, 's[0-9]*[02468]\\.rs$')")
+def lnt8_naming_boundary(spark, d):
+    return _lint(spark, d, "naming_boundary", {"pattern": ["**/*.rs"], "must_match": r"s[0-9]*[02468]\.rs$"})
+
+
+@query(_E + "t like 'src/AFRICA/%' and not (s like 'src/AFRICA/%' or s like '%.ts')")
+def lnt9_restricted_consumer(spark, d):
+    return _lint(spark, d, "restricted_consumer", {"target": ["src/AFRICA/**"], "allowed_consumers": ["src/AFRICA/**", "**/*.ts"]})
+
+
+@query(_N + "where (select count(*) from exports where file_id = id) > 9")
+def lnt10_export_limit(spark, d):
+    return _lint(spark, d, "export_limit", {"pattern": ["**"], "max_exports": 9})
+
+
+@query(_E + "len(names) > 1")
+def lnt11_coupling_weight(spark, d):
+    return _lint(spark, d, "coupling_weight", {"pattern": ["**"], "max_names": 1})
+
+
+@query("select sdir as source_file, sdir as target_file, '' as names, 0::bigint as line from ends group by sdir having count(*) filter (sdir <> tdir) / count(*) > 0.9")
+def lnt12_cohesion(spark, d):
+    return _lint(spark, d, "cohesion", {"pattern": ["**"], "max_external_ratio": 0.9})
+
+
+@query("select s as source_file, t as target_file, array_to_string(names, ',') as names, line from ends where s like 'src/ASIA/%' and t like '%.ts' and not t like '%9.ts' union all " + _E + "s like 'src/ASIA/%' and t like 'src/EUROPE/%' and not t like '%9.ts'")
+def lnt13_tag_boundary(spark, d):
+    tags = {"asia": ["src/ASIA/**"], "ts": ["**/*.ts"], "europe": ["src/EUROPE/**"], "nine": ["**/*9.ts"]}
+    return _lint(spark, d, "tag_boundary", {"from_tag": "asia", "deny_tags": ["ts", "europe", "unknown"], "except_tags": ["nine"]}, tags=tags)
+
+
+def _config() -> lint.LintConfig:
+    return lint.LintConfig([
+        lint.Rule("asia-europe", "error", "ASIA must not import EUROPE", "boundary", {"from": ["src/ASIA/**"], "deny": ["src/EUROPE/**"]}),
+        lint.Rule("exports", "warning", "too many exports", "export_limit", {"pattern": ["**"], "max_exports": 9}),
+        lint.Rule("weight", "info", "too many names", "coupling_weight", {"pattern": ["**"], "max_names": 1}),
+    ])
+
+
+_V = """, v as (select 'asia-europe' as rule_id, 'error' as severity, s as source_file, t as target_file, line from ends where s like 'src/ASIA/%' and t like 'src/EUROPE/%'
+    union all select 'exports', 'warning', path, path, 0 from nodes where (select count(*) from exports where file_id = id) > 9 union all select 'weight', 'info', s, t, line from ends where len(names) > 1)"""
+
+
+@query(_V + " select count(*) as total_violations, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos, count(distinct rule_id) as rules_violated from v")
+def agg10_lint_summary(spark, d):
+    return lint.summary(lint.evaluate(_config(), _g(spark, d)))
+
+
+@query(_V + " select rule_id, severity, source_file, target_file, line from v where severity in ('error', 'warning')")
+def prd7_severity_threshold(spark, d):
+    return lint.evaluate(_config(), _g(spark, d), threshold="warning").select("rule_id", "severity", "source_file", "target_file", "line")
+
+
+@query(_V + " select rule_id, severity, source_file, target_file, line from v where rule_id <> 'weight' or line % 2 = 1")
+def lnt15_baseline(spark, d):
+    found = lint.evaluate(_config(), _g(spark, d))
+    base = found.where("rule_id = 'weight' and line % 2 = 0").select("rule_id", "source_file", "target_file", "line")
+    return lint.suppress(found, base).select("rule_id", "severity", "source_file", "target_file", "line")
+
+
+# ------------------------------------------------------------------ sorts, sets, functions
+
+@query(_V + " select rule_id, source_file, line from v order by case severity when 'error' then 0 when 'warning' then 1 else 2 end, source_file, line")
+def srt4_ordered_violations(spark, d):
+    return lint.ordered(lint.evaluate(_config(), _g(spark, d))).select("rule_id", "source_file", "line")
+
+
+@query("select path, exported_name from dead_exports order by path desc, exported_name desc limit 25")
+def srt6_srt7_sort_and_limit(spark, d):
+    return post.sort_limit(analysis.dead_exports(_g(spark, d)).select("path", "exported_name"), ["path", "exported_name"], reverse=True, limit=25)
+
+
+@query("select (select count(*) from dead_files) + (select count(*) from dead_exports) as count")
+def srt8_count(spark, d):
+    g = _g(spark, d)
+    return post.count_of({"dead_files": analysis.dead_files(g), "dead_exports": analysis.dead_exports(g)})
+
+
+@query("select path from nodes where id % 2 = 0 union select path from nodes where id % 3 = 0")
+def set1_union(spark, d):
+    n = virtual.nodes(spark, d)
+    return n.where("id % 2 = 0").select("path").union(n.where("id % 3 = 0").select("path")).distinct()
+
+
+@query("(select path from nodes where id % 2 = 0) except (select path from nodes where id % 3 = 0)")
+def set2_except(spark, d):
+    n = virtual.nodes(spark, d)
+    return n.where("id % 2 = 0").select("path").subtract(n.where("id % 3 = 0").select("path"))
+
+
+@query("select src, dst, array_to_string(list_filter(names, lambda x: x like '%7'), ',') as names from edges")
+def set4_array_filter(spark, d):
+    return _g(spark, d).edges.select("src", "dst", F.array_join(F.filter("imported_names", lambda x: x.endswith("7")), ",").alias("names"))
+
+
+@query("select path, dir as directory, stem || '.' || regexp_extract(path, '\\.([a-z]+)$', 1) as filename, stem, regexp_extract(path, '\\.([a-z]+)$', 1) as extension from nodes")
+def fn1_path_functions(spark, d):
+    p = F.col("path")
+    return virtual.nodes(spark, d).select("path", paths.parent(p).alias("directory"), paths.file_name(p).alias("filename"), paths.stem(p).alias("stem"), paths.extension(p).alias("extension"))
+
+
+@query("select id, path, dir as path_directory, stem || '.' || regexp_extract(path, '\\.([a-z]+)$', 1) as path_filename, regexp_extract(path, '\\.([a-z]+)$', 1) as path_extension, language as path_language from nodes")
+def fn2_enrich(spark, d):
+    return paths.enrich(virtual.nodes(spark, d).select("id", "path"), ["path"])
+
+
+@query("select strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso, count(*) as n from events group by 1")
+def fn6_iso_time(spark, d):
+    e = virtual.table(spark, d, "events")
+    return e.groupBy(post.iso_utc(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("iso")).agg(F.count("*").alias("n"))
+
+
+@query("select 'edge' as kind, src as id, null as path, array_to_string(names, ';') as names from edges union all select 'node', id, path, null from nodes")
+def fn7_fn8_csv_rows(spark, d):
+    g = _g(spark, d)
+    return post.csv_rows({"edges": g.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("id"), F.col("imported_names").alias("names")), "nodes": g.nodes.select(F.lit("node").alias("kind"), "id", "path")})
+
+
+@query("select id, path from nodes where language = 'rust' and id > 5")
+def fn11_jq_select(spark, d):
+    return post.jq(virtual.nodes(spark, d), '.[] | select(.language == "rust" and .id > 5) | {id, path}')
+
+
+# ------------------------------------------------------------------ incremental maintenance
+
+@query("""select coalesce(o.id, 1000000 + row_number() over (partition by o.id is null order by n.path)) as id, coalesce(n.path, o.path) as path,
+    case when n.path is null then 'deleted' when o.path is null then 'new' when o.mtime >= n.mtime then 'unchanged' else 'changed' end as state
+    from (select path, id % 5 as mtime from nodes where id % 7 <> 0) n full join (select id, path, 2 as mtime from nodes where id % 7 <> 1) o on n.path = o.path""")
+def snk7_incremental_classification(spark, d):
+    from graphloom.sources import store
+
+    n = virtual.nodes(spark, d)
+    found = n.where("id % 7 <> 0").select("path", (F.col("id") % 5).alias("mtime"))
+    old = n.where("id % 7 <> 1").select("id", "path", F.lit(2).cast("long").alias("mtime"))
+    return store.classify(old, found, first_id=1_000_001).select("id", "path", "state")
+
+
+@query("select id, path, case when id % 4 = 0 then 9 else 1 end::bigint as mtime from nodes")
+def snk1_upsert(spark, d):
+    from graphloom.sources import store
+
+    n = virtual.nodes(spark, d).select("id", "path", F.lit(1).cast("long").alias("mtime"))
+    return store.upsert(n, n.where("id % 4 = 0").withColumn("mtime", F.lit(9).cast("long")), ["id"])
+
+
+@query("select id, file_id, name from symbols where file_id % 3 <> 0")
+def snk4_cascade_delete(spark, d):
+    from graphloom.sources import store
+
+    gone = virtual.nodes(spark, d).where("id % 3 = 0").select(F.col("id").alias("file_id"))
+    return store.without_files({"symbols": virtual.symbols(spark, d)}, gone)["symbols"].select("id", "file_id", "name")
