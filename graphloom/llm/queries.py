@@ -71,10 +71,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_ann_search": """
             with good as (
-                select vec_id, list_transform(embedding, x -> x::double) as v from embeddings
+                select vec_id, embedding::double[] as v from embeddings
                 where embedding is not null and len(embedding) > 0
-                  and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-                  and len(list_filter(embedding, x -> x <> 0)) > 0),
+                  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+                  and len(list_filter(embedding, lambda x: x <> 0)) > 0),
             scored as (
                 select q.vec_id as query_id, c.vec_id, list_inner_product(c.v, q.v) as score
                 from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
