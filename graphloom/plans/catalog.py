@@ -322,7 +322,7 @@ def alg7_cycles(spark, d):
     return analysis.cycles(_g(spark, d, "blocked")).select("component", "length", F.array_join("files", ",").alias("files"))
 
 
-_DEPTH = """, walk as (select 1 as id, 0 as depth union select e.{b}, w.depth + 1 from walk w join edges e on e.{a} = w.id where w.depth < {m}),
+_DEPTH = """, walk as (select 1::bigint as id, 0 as depth union select e.{b}, w.depth + 1 from walk w join edges e on e.{a} = w.id where w.depth < {m}),
     least_depth as (select id, min(depth) as depth from walk group by id) select l.id, n.path, l.depth{more} from least_depth l join nodes n using (id) where l.depth > 0"""
 
 
@@ -342,7 +342,7 @@ def alg9_symbol_reachability(spark, d):
     return iterate.reachable(s.edges, s.symbols.where("file_id = 1").select("id"))
 
 
-@query(""", back as (select 10 as id union select r.source_id from back a join refs r on r.target_id = a.id) select id from back where id <> 10""")
+@query(""", back as (select 10::bigint as id union select r.source_id from back a join refs r on r.target_id = a.id) select id from back where id <> 10""")
 def alg10_symbol_dependents(spark, d):
     s = virtual.symbol_graph(spark, d)
     e = s.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

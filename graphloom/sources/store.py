@@ -34,7 +34,7 @@ def classify(existing: DataFrame, found: DataFrame, first_id: int | None = None)
     """(id, path, mtime, state, ...) by a full outer join on path of ``existing`` (id, path, mtime) and ``found`` (path, mtime, ...).
 
     unchanged: stored no earlier than found; changed keeps its id; deleted: found no more; new gets ids from ``first_id``
-    (by default the largest one plus 1) in the order of paths. New files are numbered per 256 ranges of the path's order
+    (by default the largest one plus 1) in the order of paths. New files are numbered per range of the path's first characters
     and shifted by the ranges' counts, not in one task.
     """
     e = existing.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("mtime").alias("_old"))
@@ -43,9 +43,10 @@ def classify(existing: DataFrame, found: DataFrame, first_id: int | None = None)
     both = both.withColumn("state", state).withColumn("path", F.coalesce("path", "_path")).withColumn("mtime", F.coalesce("mtime", "_old"))
     known = both.where("state <> 'new'").withColumn("id", F.col("_id"))
     fresh = both.where("state = 'new'")
-    bounds = fresh.select("path").distinct().agg(F.array_sort(F.collect_set(F.substring("path", 1, 6))).alias("b")).select(F.slice("b", 1, 4096).alias("b")).scalar()
-    block = F.aggregate(bounds, F.lit(0), lambda n, b: n + F.when(F.col("path") >= b, 1).otherwise(0))
-    fresh = fresh.withColumn("_block", block)
+    bounds = fresh.select("path").distinct().agg(F.array_sort(F.collect_set(F.substring("path", 1, 6))).alias("b")).select(F.slice("b", 1, 4096).alias("_bounds"))
+    fresh = fresh.crossJoin(F.broadcast(bounds))  # one row
+    block = F.aggregate("_bounds", F.lit(0), lambda n, b: n + F.when(F.col("path") >= b, 1).otherwise(0))
+    fresh = fresh.withColumn("_block", block).drop("_bounds")
     inside = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("_block").orderBy("path")))
     before = fresh.groupBy("_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per block
     start = F.lit(first_id) if first_id is not None else F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0)) + 1
