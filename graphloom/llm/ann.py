@@ -45,6 +45,23 @@ def _closest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
 
 
+def tuned_probes(x: np.ndarray, asks: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
+    """The fewest probes with which, among the sample's vectors, ``queries`` of them find ``recall`` of their brute-force neighbours."""
+    some = np.random.default_rng(9).permutation(len(x))[:queries]
+    own = _closest(x, c, 1)[:, 0]
+    d = (x * x).sum(1)[None, :] - 2 * (asks[some] @ x.T)
+    d[np.arange(len(some)), some] = np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(c)
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    order = np.argsort((c * c).sum(1)[None, :] - 2 * (asks[some] @ c.T), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(c))[None, :].repeat(len(some), 0), 1)
+    at = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1
+
+
 class ColumnScan:
     """A list's vectors in column blocks, scanned for one query after another.
 
@@ -82,13 +99,14 @@ class ColumnScan:
         return np.concatenate([head, tail]), np.concatenate([d, far])
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = 24, rows_per_list: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None = None, recall: float = 0.97, rows_per_list: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Row per query and neighbour: (query_id, rank, vec_id, score); queries are the vectors whose id ``every`` divides.
 
     Nearness is the largest inner product, in double precision over the original vectors; ties go to the smaller id. The
     candidates are all other vectors. Adding the coordinate that lifts every vector to the largest norm turns it into
     nearest by distance, where the index works: lists around centres fitted on at most ``SAMPLE`` vectors hold every
-    vector, a query probes the ``probes`` closest lists. A list longer than ``LIST_ROWS`` is split over tasks by a hash.
+    vector, a query probes the ``probes`` closest lists; by default as many as the sample needs for ``recall`` against brute
+    force. A list longer than ``LIST_ROWS`` is split over tasks by a hash.
 
     Vectors that are null, zero or hold null or non-finite components take no part. All vectors must be of one size
     (others than the most frequent size take no part). Repeated ids are candidates each. Fewer candidates than ``k``
@@ -111,6 +129,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int = 24,
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v")
     x = lift(np.array(sample.combine_chunks().flatten()).reshape(-1, dim), False)
     c = centres(x, min(lists, len(x)))
+    if probes is None:
+        raw = np.array(sample.combine_chunks().flatten()).reshape(-1, dim)
+        probes = tuned_probes(x, lift(raw, True), c, k, recall)
     probes = min(probes, len(c))
     shared = spark.sparkContext.broadcast((c, turn))  # at most 4,096 centres
 

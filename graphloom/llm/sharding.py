@@ -20,6 +20,14 @@ def grants(asked: dict[tuple[int, int], int], free: dict[int, int]) -> dict[tupl
             break
         x = {(a, b): n * over.get(b, 1.0) for (a, b), n in x.items()}
     y = {p: int(n) for p, n in x.items()}
+    out, into = {}, {}
+    for (a, b), n in y.items():
+        out[a], into[b] = out.get(a, 0) + n, into.get(b, 0) + n
+    for p in sorted(y, key=lambda p: (y[p] - x[p], p)):  # room left by rounding down
+        more = min(asked[p] - y[p], max(0, free[p[1]] + out.get(p[1], 0)) - into[p[1]])
+        if more > 0:
+            y[p] += more
+            into[p[1]] += more
     while True:
         out, into = {}, {}
         for (a, b), n in y.items():
@@ -63,17 +71,19 @@ def loads(state: DataFrame) -> dict[int, int]:
 def propagate(state: DataFrame, shards: int, quota: list[int], rounds: int) -> DataFrame:
     """Balanced label propagation over rows (g, shard, n): ``n`` linked rows of group ``g`` are in ``shard``.
 
-    Each round, a group's rows want to go where most of their group is among shards with room (ties by a hash); the
-    wishes are summed into a table of shards x shards, on which ``grants`` decides. Ends when nothing may move.
+    Each round, a group's rows want to go where most of their group is among shards with room (ties by a hash), be it
+    from larger parts in full shards if the group is small; the wishes are summed into a table of shards x shards, on which ``grants`` decides. Ends when nothing may move.
     """
     for _ in range(rounds):
         load = loads(state)
         free = {s: quota[s] - load.get(s, 0) for s in range(shards)}
         open_ = [s for s in free if free[s] > 0] or list(free)
-        size = F.struct("n", F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 30)).alias("h"))
-        sized = state.withColumn("size", size)
-        best = sized.where(F.col("shard").isin(open_)).groupBy("g").agg(F.max_by("shard", "size").alias("home"), F.max("size").alias("top"))
-        want = written(sized.join(best, "g").where("shard <> home and size < top").select("g", "shard", "home", "n"), "wishes")
+        is_open = F.col("shard").isin(open_)
+        sized = state.withColumn("size", F.struct("n", F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 30)).alias("h"), F.col("shard").alias("s")))
+        best = sized.groupBy("g").agg(F.max(F.when(is_open, F.col("size"))).alias("top"), F.sum("n").alias("all"))
+        stuck = ~is_open & (F.col("all") <= min(quota) // 2)
+        want = sized.join(best, "g").where((F.col("shard") != F.col("top.s")) & ((F.col("size") < F.col("top")) | stuck))
+        want = written(want.select("g", "shard", F.col("top.s").alias("home"), "n"), "wishes")
         asked = {(r["shard"], r["home"]): r["n"] for r in want.groupBy("shard", "home").agg(F.sum("n").alias("n")).collect()}
         allowed = grants(asked, free)
         if not allowed:
@@ -98,7 +108,7 @@ def relieve(state: DataFrame, shards: int, quota: list[int]) -> DataFrame:
         state = move(state, want, {(s, t): n for s, (t, n) in pairs.items()}, shards)
 
 
-def shard_rows(rows: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int = 40, rounds: int = 16) -> DataFrame:
     """Places rows of (doc_id, size, text_crc32, g); rows of one ``g`` are linked.
 
     Law ``rows``: shards differ by at most one row. Linked rows start where a hash puts them and move by label
