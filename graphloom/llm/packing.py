@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import transducer
-from .common import batch, drop_written, flat, map_batches, written
+from .common import batch, blocks, flat, map_batches, written
 
 _PIECES = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
@@ -24,27 +24,31 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
     """
     classes = transducer.char_classes()
 
-    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(b: pa.RecordBatch) -> list[pa.RecordBatch]:
         buf, offsets = flat(b.column(1))
-        n, ids = transducer.encode(vocabulary, classes, buf, offsets, ids=True)
-        at = np.concatenate([[0], np.cumsum(n)])
-        size = n + 1
-        per = -(-size // capacity)
-        doc = np.repeat(np.arange(len(n)), per)
-        piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        first = size - (per - 1) * capacity
-        start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
-        length = np.where(piece == 0, first[doc], capacity)
-        tail = np.array([end_id], "<u4").tobytes()
-        raw = memoryview(ids.astype("<u4").tobytes())
-        crc = np.empty(len(doc), np.int64)
-        for i, (lo, k, last) in enumerate(zip((at[doc] + start).tolist(), length.tolist(), (piece == per[doc] - 1).tolist())):
-            crc[i] = zlib.crc32(tail, zlib.crc32(raw[4 * lo : 4 * (lo + k - 1)])) if last else zlib.crc32(raw[4 * lo : 4 * (lo + k)])
-        return batch(_PIECES, b.column(0).take(pa.array(doc)), piece, start, length, crc)
+        return [_cut(vocabulary, classes, b.column(0).slice(i, j - i), buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], capacity, end_id) for i, j in blocks(offsets, 2 << 20)]
 
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
+def _cut(vocabulary: str, classes: bytes, doc_ids: pa.Array, buf: np.ndarray, offsets: np.ndarray, capacity: int, end_id: int) -> pa.RecordBatch:
+    n, ids = transducer.encode(vocabulary, classes, buf, offsets, ids=True)
+    at = np.concatenate([[0], np.cumsum(n)])
+    size = n + 1
+    per = -(-size // capacity)
+    doc = np.repeat(np.arange(len(n)), per)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+    first = size - (per - 1) * capacity
+    start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+    length = np.where(piece == 0, first[doc], capacity)
+    tail = np.array([end_id], "<u4").tobytes()
+    raw = memoryview(ids.astype("<u4").tobytes())
+    crc = np.empty(len(doc), np.int64)
+    for i, (lo, k, last) in enumerate(zip((at[doc] + start).tolist(), length.tolist(), (piece == per[doc] - 1).tolist())):
+        crc[i] = zlib.crc32(tail, zlib.crc32(raw[4 * lo : 4 * (lo + k - 1)])) if last else zlib.crc32(raw[4 * lo : 4 * (lo + k)])
+    return batch(_PIECES, doc_ids.take(pa.array(doc)), piece, start, length, crc)
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Bins for ``histogram`` (length: pieces): rows (length, first, count, sequence, offset).
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import transducer
-from .common import batch, flat, map_batches
+from .common import batch, blocks, flat, map_batches
 
 _SCHEMA = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
 
@@ -23,7 +23,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         buf, offsets = flat(b.column(1))
-        n, _ = transducer.encode(vocabulary, classes, buf, offsets)
+        parts = [transducer.encode(vocabulary, classes, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0] for i, j in blocks(offsets, 2 << 20)]
+        n = np.concatenate(parts)
         return batch(_SCHEMA, b.column(0), np.diff(offsets), n, n > limit)
 
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -206,7 +206,7 @@ class Merger:
     """The transducer over a piece's bytes; states and transitions are added when first needed."""
 
     LONG = 192  # longer pieces are read one by one
-    MOST = 6_000_000  # transitions kept before starting anew: a bound of a worker's memory
+    MOST = 1_500_000  # transitions kept before starting anew: a bound of a worker's memory
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -269,14 +269,14 @@ class Merger:
     def reset(self) -> None:
         self.states: dict[tuple, int] = {}
         self.reps: list[tuple] = []
-        self.trans: dict[int, tuple[int, int]] = {}
+        self.memo: dict[int, tuple[int, int]] = {}  # for pieces that are read one by one
         self.last = np.full(1 << 12, -1, np.int32)
         self.bits = 14
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.next = np.zeros(1 << self.bits, np.int32)
         self.delta = np.zeros(1 << self.bits, np.int16)
         self.used = 0
-        self._state(0, ((-1, 0),))
+        self._state((0, 512))
 
     def _valid(self, a: int, b: int) -> bool:
         """Whether the model leaves tokens a, b (a = -1: b alone) as they are."""
@@ -299,67 +299,57 @@ class Merger:
             got = self.open[node] = (*out, 0)
         return got
 
-    def _state(self, node: int, window: tuple) -> int:
-        k = (node, window)
+    def _state(self, k: tuple[int, ...]) -> int:
+        """Number of the state (node, then (last token + 1) * 1024 + (its count relative to now) + 512 for each open suffix)."""
         s = self.states.get(k)
         if s is None:
             s = self.states[k] = len(self.reps)
             self.reps.append(k)
             if s >= len(self.last):
                 self.last = np.concatenate([self.last, np.full(len(self.last), -1, np.int32)])
-            self.last[s] = window[-1][0]  # that of suffix length 0: all that was read
+            self.last[s] = (k[-1] >> 10) - 1  # that of suffix length 0: all that was read
         return s
 
     def step(self, key: int) -> tuple[int, int]:
         """Next state and change of the token count, for ``state * 256 + byte``."""
-        got = self.trans.get(key)
-        if got is not None:
-            return got
-        (node, window), x = self.reps[key >> 8], key & 255
-        kids, fail = self.kids, self.fail
+        (was, *window), x = self.reps[key >> 8], key & 255
+        kids, fail, node = self.kids, self.fail, was
         while node and x not in kids[node]:
             node = fail[node]
         node = kids[node].get(x, 0)
-        back = dict(zip(self._open(self.reps[key >> 8][0]), window))
+        back = dict(zip(self._open(was), window))
         for t, n in self.ends[node]:
-            e, c = back[n - 1]
-            if self._valid(e, t):
-                d = c + 1
+            at = back[n - 1]
+            if self._valid((at >> 10) - 1, t):
+                d = (at & 1023) - 511
                 break
         else:
             raise AssertionError("the vocabulary lacks a byte")
         while node and not kids[node]:
             node = fail[node]
-        w = []
-        for n in self._open(node)[:-1]:
-            e, c = back[n - 1]
-            w.append((e, c - d))
-        w.append((t, 0))
-        got = self.trans[key] = (self._state(node, tuple(w)), d)
-        return got
+        new = self._state((node, *(back[n - 1] - d for n in self._open(node)[:-1]), (t + 1) * 1024 + 512))
+        return new, d
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
 
     def _insert(self, keys: np.ndarray, to: np.ndarray, delta: np.ndarray) -> None:
-        self.used += len(keys)
-        if self.used * 3 > len(self.keys):
-            while self.used * 4 > 1 << self.bits:
+        if (self.used + len(keys)) * 3 > len(self.keys):
+            old = self.keys >= 0
+            keys, to, delta = (np.concatenate(p) for p in ((self.keys[old], keys), (self.next[old], to), (self.delta[old], delta)))
+            self.used = 0
+            while len(keys) * 4 > 1 << self.bits:
                 self.bits += 1
             self.keys = np.full(1 << self.bits, -1, np.int64)
             self.next, self.delta = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int16)
-            keys = np.fromiter(self.trans.keys(), np.int64, len(self.trans))
-            both = np.array(list(self.trans.values()), np.int64)
-            to, delta = both[:, 0], both[:, 1]
+        self.used += len(keys)
         slot, todo, mask = self._slot(keys), np.arange(len(keys)), (1 << self.bits) - 1
         while len(todo):
             free = todo[self.keys[slot[todo]] < 0]
             self.keys[slot[free]] = keys[free]
-            won = free[self.keys[slot[free]] == keys[free]]
-            self.next[slot[won]], self.delta[slot[won]] = to[won], delta[won]
-            left = np.ones(len(keys), bool)
-            left[won] = False
-            todo = todo[left[todo]]
+            won = self.keys[slot[todo]] == keys[todo]
+            self.next[slot[todo[won]]], self.delta[slot[todo[won]]] = to[todo[won]], delta[todo[won]]
+            todo = todo[~won]
             slot[todo] = (slot[todo] + 1) & mask
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -379,14 +369,12 @@ class Merger:
             bad = np.unique(keys[np.concatenate(miss)]) if miss else ()
             if not len(bad):
                 return slot
-            new = [(k, *self.step(k)) for k in bad.tolist()]
-            a = np.array(new, np.int64)
-            fresh = a if len(a) else np.zeros((0, 3), np.int64)
-            self._insert(fresh[:, 0], fresh[:, 1], fresh[:, 2])
+            a = np.array([(k, *self.step(k)) for k in bad.tolist()], np.int64)
+            self._insert(a[:, 0], a[:, 1], a[:, 2])
 
     def read(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Tokens of each piece; with ``ids`` also, for each byte, the id of the token that ends there or -1."""
-        if len(self.trans) > self.MOST:
+        if self.used > self.MOST:
             self.reset()
         lens = ends - starts
         count = np.zeros(len(starts), np.int64)
@@ -407,22 +395,21 @@ class Merger:
             if ids:
                 last[where] = self.last[state[:n]]
         count[order] = total
-        pending: set[int] = set()
         for i in np.flatnonzero(lens > self.LONG).tolist():
             s = c = 0
             a = int(starts[i])
+            if len(self.memo) > 200_000:
+                self.memo.clear()
             for j, x in enumerate(buf[a : int(ends[i])].tolist()):
                 key = s << 8 | x
-                if key not in self.trans:
-                    pending.add(key)
-                s, d = self.step(key)
-                c += d
+                got = self.memo.get(key)
+                if got is None:
+                    got = self.memo[key] = self.step(key)
+                s = got[0]
+                c += got[1]
                 if ids:
                     last[a + j] = self.last[s]
             count[i] = c
-        if pending:
-            a = np.array([(k, *self.trans[k]) for k in pending], np.int64)
-            self._insert(a[:, 0], a[:, 1], a[:, 2])
         if not ids:
             return count, None
         end = np.zeros(len(buf), bool)
@@ -464,7 +451,7 @@ def encode(path: str, classes: bytes, buf: np.ndarray, offsets: np.ndarray, ids:
     if any(s in whole for s in m.special):
         return _with_specials(m, path, classes, whole, offsets, ids)
     counts, parts = [], []
-    for i, j in blocks(offsets):
+    for i, j in blocks(offsets, 2 << 20):
         a, b = int(offsets[i]), int(offsets[j])
         for lo, hi, rel in _spans(table, buf, a, b, offsets[i : j + 1]):
             n, got = _block(m, table, buf[lo:hi], rel, ids)
@@ -477,7 +464,7 @@ def encode(path: str, classes: bytes, buf: np.ndarray, offsets: np.ndarray, ids:
     return out, (np.concatenate(parts) if parts else np.zeros(0, np.int32)) if ids else None
 
 
-def _spans(table: np.ndarray, buf: np.ndarray, a: int, b: int, offsets: np.ndarray, most: int = 8 << 20):
+def _spans(table: np.ndarray, buf: np.ndarray, a: int, b: int, offsets: np.ndarray, most: int = 4 << 20):
     """One span, or, for a single text that is longer than ``most``, several that are cut before a space after an ASCII letter: there a piece begins, whatever came before."""
     if b - a <= most or len(offsets) > 2:
         yield a, b, offsets - a
@@ -512,7 +499,7 @@ def _with_specials(m: Merger, path: str, classes: bytes, whole: bytes, offsets:
     clean = np.zeros(len(pieces), np.int64)
     got_ids = []
     # the joined pieces may hold a special string across a border, so blocks are read without looking for them
-    for i, j in blocks(offs):
+    for i, j in blocks(offs, 2 << 20):
         n, got = _block(m, _classes(classes), joined[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ids)
         clean[i:j] = n
         if ids:
