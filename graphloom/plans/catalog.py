@@ -602,3 +602,87 @@ def snk4_cascade_delete(spark, d):
 
     gone = virtual.nodes(spark, d).where("id % 3 = 0").select(F.col("id").alias("file_id"))
     return store.without_files({"symbols": virtual.symbols(spark, d)}, gone)["symbols"].select("id", "file_id", "name")
+
+
+# ------------------------------------------------------------------ extraction and resolution, over the virtual code base written out as text
+
+def _extracted(spark, d, language: str) -> dict[str, DataFrame]:
+    from graphloom.sources import extract
+
+    return extract.tables(extract.extract(virtual.sources(spark, d, language)))
+
+
+@query("select src as file_id, 'p' || substr(name, 2) as imported_name, is_type_only from edges_rows")
+def ext3_ts_imports(spark, d):
+    return _extracted(spark, d, "typescript")["imports"].select("file_id", "imported_name", "is_type_only")
+
+
+@query("select file_id, name as exported_name, is_default and false as is_default, false as is_reexport from exports where file_id in (select id from nodes)")
+def ext5_ts_exports(spark, d):
+    return _extracted(spark, d, "typescript")["exports"].select("file_id", "exported_name", "is_default", "is_reexport")
+
+
+@query("select file_id, name as source, 'helper' as target, 'call' as kind from exports where file_id in (select id from nodes)")
+def ext6_ext7_ts_references(spark, d):
+    t = _extracted(spark, d, "typescript")
+    a = t["symbols"].select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+    b = t["symbols"].select(F.col("id").alias("target_id"), F.col("name").alias("target"))
+    return t["refs"].join(a, "source_id").join(b, "target_id").select("file_id", "source", "target", "kind")
+
+
+@query("select id as file_id, 'Holder' as name, 'class' as kind, 'a.b.Holder' as qualified_name, 'public' as visibility from nodes union all select id, 'helper', 'method', 'a.b.Holder.helper', 'private' from nodes union all select file_id, name, 'method', 'a.b.Holder.' || name, 'public' from exports where file_id in (select id from nodes)")
+def ext8_java_symbols(spark, d):
+    return _extracted(spark, d, "java")["symbols"].select("file_id", "name", "kind", "qualified_name", "visibility")
+
+
+@query("select id as file_id, 'java.util.List' as source_path from nodes union all select distinct file_id, '@type-ref:String' from exports where file_id in (select id from nodes)")
+def ext10_ext11_java_imports(spark, d):
+    return _extracted(spark, d, "java")["imports"].select("file_id", "source_path")
+
+
+@query("select file_id, name, 'function' as kind, 'public' as visibility from exports where file_id in (select id from nodes) union all select id, 'helper', 'function', 'private' from nodes")
+def ext14_rust_symbols(spark, d):
+    return _extracted(spark, d, "rust")["symbols"].select("file_id", "name", "kind", "visibility")
+
+
+@query("select id as file_id, unnest(['crate::a::b', 'crate::a::c']) as source_path, unnest(['b', 'd']) as local_name from nodes")
+def ext15_rust_use_trees(spark, d):
+    return _extracted(spark, d, "rust")["imports"].select("file_id", "source_path", "local_name")
+
+
+def _resolved(spark, d) -> DataFrame:
+    from graphloom.operators import resolve
+
+    files = virtual.sources(spark, d, "typescript").select(F.col("file_id").alias("from_id"), F.col("path").alias("from_path"))
+    imports = _extracted(spark, d, "typescript")["imports"]
+    asked = imports.select(F.col("id").alias("import_id"), F.col("file_id").alias("from_id"), F.col("source_path").alias("source")).join(files, "from_id")
+    found = resolve.resolve_ts(asked, virtual.nodes(spark, d).select("id", "path"))
+    return found.join(imports.select(F.col("id").alias("import_id"), "imported_name", "is_type_only", "line_start"), "import_id")
+
+
+@query("select src, dst, array_to_string(names, ',') as names, is_type_only from edges where dst % 3 = 0 and src in (select id from nodes) and dst in (select id from nodes)")
+def res4_grf1_round_trip(spark, d):
+    """Text to rows to resolved edges: the graph that the text was written from."""
+    rows = _resolved(spark, d).where("status = 'resolved'")
+    e = graph.build_edges(rows.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("imported_name").alias("name"), "is_type_only", F.lit(False).alias("is_mod_declaration"), F.col("line_start").alias("line")))
+    return e.select("src", "dst", _names(), "is_type_only")
+
+
+@query("select src as from_id, name as imported_name, 'file_not_found' as detail from edges_rows where dst % 3 <> 0 and src in (select id from nodes) and dst in (select id from nodes)")
+def res4_unresolved(spark, d):
+    return _resolved(spark, d).where("status = 'unresolved'").select("from_id", "imported_name", "detail")
+
+
+_HREF = "(select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as source from pages)"
+
+
+@query("select distinct page_id, source, case when source like '/%' then 'unresolved' when source like '.%' then 'unresolved' when source = '' then 'unresolved' else 'external' end as status from " + _HREF)
+def res7_pages_links(spark, d):
+    """Links of raw pages as imports: absolute paths that no page has, and bare names."""
+    from graphloom.operators import resolve
+
+    pages = virtual.table(spark, d, "pages")
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("source")).distinct()
+    asked = links.select(F.xxhash64("page_id", "source").alias("import_id"), F.col("page_id").alias("from_id"), F.lit("page/index.ts").alias("from_path"), "source")
+    found = resolve.resolve_ts(asked, pages.select(F.col("page_id").alias("id"), F.col("url").alias("path")))
+    return found.select(F.col("from_id").alias("page_id"), "source", "status")

@@ -130,3 +130,27 @@ SQL = f"""with recursive total as (select count(*) as n from supplier),
     closure2 as (select src, dst from allblocked union select c.src, r.dst from closure2 c join allblocked r on r.src = c.dst),
     scc2 as (select a.src as id, least(a.src, min(a.dst)) as component from closure2 a join closure2 b on a.src = b.dst and a.dst = b.src where a.src <> a.dst group by a.src)
 """
+
+
+# ------------------------------------------------------------------ as source text
+
+def sources(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """(file_id, path, language, content): every file written out in one language, with its imports and exports."""
+    n = nodes(spark, sf_dir).select("id", "path")
+    e = export_rows(spark, sf_dir).select(F.col("file_id").alias("id"), "exported_name")
+    if language == "typescript":
+        to = n.select(F.col("id").alias("dst"), F.regexp_replace(F.regexp_replace("path", "^src/", "../../"), r"\.\w+$", "").alias("spec"))
+        rows = edge_rows(spark, sf_dir).join(to, "dst")
+        imports = rows.select(F.col("src").alias("id"), F.concat(F.when(F.col("is_type_only"), "import type { ").otherwise("import { "), "name", F.lit(" } from '"), "spec", F.lit("';")).alias("line"))
+        exports = e.select("id", F.concat(F.lit("export function "), "exported_name", F.lit("(a: number): void { helper(`${a}`); }")).alias("line"))
+        lines = imports.unionByName(exports)
+        head, tail = "// written out\n", "\nfunction helper(x: string) {}\n"
+    elif language == "java":
+        lines = e.select("id", F.concat(F.lit("    public static void "), "exported_name", F.lit("(List<String> a) { helper(); }")).alias("line"))
+        head, tail = "package a.b;\nimport java.util.List;\n/* class */\npublic class Holder {\n", "\n    private static void helper() {}\n}\n"
+    else:
+        lines = e.select("id", F.concat(F.lit("pub fn "), "exported_name", F.lit("(a: &'static str) -> usize { helper(a) }")).alias("line"))
+        head, tail = "use crate::a::{b, c as d};\n", "\nfn helper(a: &str) -> usize { 0 }\n"
+    body = lines.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
+    text = F.concat(F.lit(head), F.coalesce("body", F.lit("")), F.lit(tail))
+    return n.join(body, "id", "left").select(F.col("id").alias("file_id"), "path", F.lit(language).alias("language"), text.alias("content"))
