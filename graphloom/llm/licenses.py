@@ -66,6 +66,8 @@ class Scanner:
             s = shingles(w)
             if not len(s):
                 raise ValueError(f"template {name} needs two words")
+            if len(s) > 200:
+                raise ValueError(f"template {name} is longer than 200 words; give its opening")
             self.sets.append(np.unique(s))
             self.words.append(len(w))
             by_size.setdefault(len(s), []).append((t, s))
@@ -139,7 +141,24 @@ class Scanner:
             best = row
         if best is not None:
             out.append(best)
-        return [(d, t, a - int(upto[d]), e - int(upto[d]), c) for d, t, a, e, c in out]
+        # where templates overlap, one that is contained less than another there isn't what the text has
+        out.sort(key=lambda r: (r[0], r[2]))
+        kept = []
+        for i, r in enumerate(out):
+            near = [o for step in (range(i - 1, -1, -1), range(i + 1, len(out))) for o in self._overlapping(out, r, step)]
+            if all(o[4] <= r[4] for o in near):
+                kept.append(r)
+        return [(d, t, a - int(upto[d]), e - int(upto[d]), c) for d, t, a, e, c in kept]
+
+    @staticmethod
+    def _overlapping(rows: list, r: tuple, places: range):
+        reach = 256  # words; no template is longer
+        for j in places:
+            o = rows[j]
+            if o[0] != r[0] or abs(o[2] - r[2]) > reach:
+                return
+            if o[2] <= r[3] and r[2] <= o[3]:
+                yield o
 
 
 _scanners: dict[tuple, Scanner] = {}
@@ -150,7 +169,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     Words are compared without case and punctuation; a shingle is two neighbouring words. For each template size windows
     of that many shingles overlap by at least 7/8 and are looked up by MinHash bands; around a candidate the exact share
-    of the template's shingles is taken, and counts from ``least`` on. Templates are a parameter of bounded size. Null
+    of the template's shingles is taken, and counts from ``least`` on. Of overlapping templates those that others there surpass
+    in this share are left out. Templates are a parameter of bounded size. Null
     and empty texts hold none; repeated rows are reported each; an empty table gives none. No shuffle.
     """
     templates = dict(templates or TEMPLATES)

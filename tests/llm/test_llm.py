@@ -435,7 +435,7 @@ def test_licenses(spark):
     rnd = random.Random(8)
     filler = lambda n: " ".join("f%d" % rnd.randrange(9000) for _ in range(n))
     edited = t["bsd-text"].replace("permitted", "allowed")
-    texts = [f"{filler(30)}\n{t['mit-notice']}\n{filler(20)}", t["apache-2.0-header"], f"{filler(5)} {edited} {filler(9)}", filler(300), None, "", f"ALL RIGHTS RESERVED {filler(40)} all rights, reserved", "the license of the public"]
+    texts = [f"{filler(30)}\n{t['mit-notice']}\n{filler(20)}", t["apache-2.0-header"], f"{filler(5)} {edited} {filler(9)}", filler(300), None, "", f"ALL RIGHTS RESERVED {filler(40)} all rights, reserved", "the license of the public", t["gpl-3.0-notice"]]
     got = defaultdict(list)
     for r in licenses.scan_licenses(docs_of(spark, texts)).collect():
         got[r["doc_id"]].append(r)
@@ -444,6 +444,7 @@ def test_licenses(spark):
     assert names(1) == ["apache-2.0-header", "apache-2.0-notice"]
     assert names(2) == ["bsd-text"] and 0.8 <= got[2][0]["containment"] < 1
     assert names(6) == ["all-rights-reserved"] * 2
+    assert names(8) == ["gpl-3.0-notice"]
     assert not got[3] and not got[4] and not got[5] and not got[7]
 
 
