@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, drop_written, map_batches, written
+from .common import map_batches, written
 
 #: Vectors that the lists' centres are fitted on, and vectors of a list that one task scans.
 SAMPLE, LIST_ROWS = 20_000, 4096
 BLOCK_DIMS = 16
 #: Probability scale of the test that leaves a candidate early: larger leaves fewer by mistake.
-EPSILON = 2.6
+EPSILON = 1.6
+#: Vectors of the sample whose k-th nearest bounds a query's search, and queries that one task takes for a list.
+ANCHORS, LIST_QUERIES = 2048, 20_000
 
 
 def clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -63,17 +65,39 @@ def tuned_probes(x: np.ndarray, asks: np.ndarray, c: np.ndarray, k: int, recall:
 
 
 class ColumnScan:
-    """A list's vectors in column blocks, scanned for one query after another.
+    """A list's vectors in column blocks, scanned for many queries at once.
 
     Distances grow block by block; a random rotation makes the part seen so far a sample of the whole, so a candidate
-    whose scaled part exceeds the k-th best distance by more than the test allows is left.
+    whose scaled part exceeds the query's limit by more than the test allows is left. While most pairs are alive a block
+    is one matrix product; later only the pairs that are left are looked at.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.dim = ids, x.shape[1]
-        self.parts = [np.ascontiguousarray(x[:, a : a + BLOCK_DIMS].T) for a in range(0, self.dim, BLOCK_DIMS)]
-
-    def nearest(self, q: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, x: np.ndarray):
+        self.n, self.dim = x.shape
+        self.parts = [np.ascontiguousarray(x[:, a : a + BLOCK_DIMS]) for a in range(0, self.dim, BLOCK_DIMS)]
+
+    def within(self, q: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place) of the vectors whose squared distance is at most the query's ``limit``; a few may be missed."""
+        far, alive, seen = np.zeros((len(q), self.n)), None, 0
+        for part in self.parts:
+            own = q[:, seen : seen + part.shape[1]]
+            seen += part.shape[1]
+            ratio = 1.0 + 1e-9 if seen == self.dim else seen / self.dim * (1 + EPSILON / np.sqrt(seen)) ** 2
+            if alive is None:
+                far += (own * own).sum(1)[:, None] + (part * part).sum(1)[None, :] - 2 * (own @ part.T)
+                ok = far <= (limit * ratio)[:, None]
+                if seen == self.dim or np.count_nonzero(ok) < 0.3 * ok.size:
+                    alive = np.nonzero(ok)
+                    d = far[alive]
+            else:
+                a, v = alive
+                d = d + ((own[a] - part[v]) ** 2).sum(1)
+                ok = d <= limit[a] * ratio
+                alive, d = (a[ok], v[ok]), d[ok]
+        return alive
+
+
+def nearest(self, q: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Places and squared distances of at least the ``k`` nearest other than id ``own``."""
         n = len(self.ids)
         first = min(n, 4 * k)
@@ -106,7 +130,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
     candidates are all other vectors. Adding the coordinate that lifts every vector to the largest norm turns it into
     nearest by distance, where the index works: lists around centres fitted on at most ``SAMPLE`` vectors hold every
     vector, a query probes the ``probes`` closest lists; by default as many as the sample needs for ``recall`` against brute
-    force. A list longer than ``LIST_ROWS`` is split over tasks by a hash.
+    force. The k-th nearest of a query among ``ANCHORS`` vectors bounds its search in every list. A list with more than
+    ``LIST_ROWS`` vectors or ``LIST_QUERIES`` queries is split over tasks by a hash. A query that finds fewer than ``k``
+    this way is run against all vectors.
 
     Vectors that are null, zero or hold null or non-finite components take no part. All vectors must be of one size
     (others than the most frequent size take no part). Repeated ids are candidates each. Fewer candidates than ``k``
@@ -126,64 +152,91 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
         extra = np.zeros(len(v)) if query else np.sqrt(np.maximum(top - (v * v).sum(1), 0))
         return np.column_stack([v, extra]) @ turn
 
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v")
-    x = lift(np.array(sample.combine_chunks().flatten()).reshape(-1, dim), False)
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "v").toArrow()
+    raw = np.array(sample.column("v").combine_chunks().flatten()).reshape(-1, dim)
+    x = lift(raw, False)
     c = centres(x, min(lists, len(x)))
     if probes is None:
-        raw = np.array(sample.combine_chunks().flatten()).reshape(-1, dim)
         probes = tuned_probes(x, lift(raw, True), c, k, recall)
     probes = min(probes, len(c))
-    shared = spark.sparkContext.broadcast((c, turn))  # at most 4,096 centres
+    anchors = np.unique(sample.column("vec_id").to_numpy()[:ANCHORS], return_index=True)[1]
+    shared = spark.sparkContext.broadcast((c, x[anchors], sample.column("vec_id").to_numpy()[anchors]))  # at most 4,096 centres and ANCHORS vectors
 
     def assign(b: pa.RecordBatch) -> pa.RecordBatch:
         v = np.asarray(b.column(1).flatten()).reshape(-1, dim)
         own = _closest(lift(v, False), shared.value[0], 1)[:, 0]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int32())], names=["vec_id", "v", "list"])
 
-    def seek(b: pa.RecordBatch) -> pa.RecordBatch:
-        v = np.asarray(b.column(1).flatten()).reshape(-1, dim)
-        near = _closest(lift(v, True), shared.value[0], probes)
-        take = pa.array(np.repeat(np.arange(len(v)), probes))
-        return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(near.ravel(), pa.int32())], names=["vec_id", "v", "list"])
+    def seek(b: pa.RecordBatch) -> list[pa.RecordBatch]:
+        out = []
+        for lo in range(0, b.num_rows, 1024):
+            part = b.slice(lo, 1024)
+            ids, v = part.column(0).to_numpy(), np.asarray(part.column(1).flatten()).reshape(-1, dim)
+            q = lift(v, True)
+            c, anchor, anchor_ids = shared.value
+            near = _closest(q, c, probes)
+            limit = np.full(len(q), np.inf)
+            if len(anchor) > k:
+                d = (q * q).sum(1)[:, None] + (anchor * anchor).sum(1)[None, :] - 2 * (q @ anchor.T)
+                d[ids[:, None] == anchor_ids[None, :]] = np.inf
+                limit = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-9
+            take = pa.array(np.repeat(np.arange(len(v)), probes))
+            out.append(pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.repeat(limit, probes)), pa.array(near.ravel(), pa.int32())], names=["query_id", "q", "bound", "list"]))
+        return out
 
     member = written(map_batches(good, assign, "vec_id long, v array<double>, list int"), "vectors")
-    many = {r["list"]: -(-r["n"] // LIST_ROWS) for r in member.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    split = F.lit(1)
-    hot = {i: m for i, m in many.items() if m > 1}
-    if hot:
-        split = F.coalesce(F.create_map(*(F.lit(y) for p in hot.items() for y in p))[F.col("list")], F.lit(1))
-    base = member.withColumn("part", F.pmod(F.xxhash64("vec_id"), split).cast("int"))
-    ask = map_batches(good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0), seek, "vec_id long, v array<double>, list int")
-    ask = ask.select("list", F.explode(F.sequence(F.lit(0), (split - 1).cast("int"))).alias("part"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    asking = map_batches(good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0), seek, "query_id long, q array<double>, bound double, list int")
+
+    def splits(df: DataFrame, most: int) -> F.Column:
+        """Parts of each list by its rows in ``df``; one unless it is long."""
+        many = {r["list"]: -(-r["n"] // most) for r in df.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
+        some = {i: m for i, m in many.items() if m > 1}
+        if not some:
+            return F.lit(1)
+        return F.coalesce(F.create_map(*(F.lit(y) for p in some.items() for y in p))[F.col("list")], F.lit(1)).cast("int")
+
+    rows, asks = splits(member, LIST_ROWS), splits(asking, LIST_QUERIES)
+    base = member.withColumn("part", F.pmod(F.xxhash64("vec_id"), rows).cast("int")).select("*", F.explode(F.sequence(F.lit(0), asks - 1)).alias("turn"))
 
     def scan(key, left, right):
-        out = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return out
-        ids = left.column("vec_id").to_numpy()
-        v = np.asarray(left.column("v").combine_chunks().flatten()).reshape(-1, dim)
-        qid = right.column("query_id").to_numpy()
-        q = np.asarray(right.column("q").combine_chunks().flatten()).reshape(-1, dim)
-        index = ColumnScan(ids, lift(v, False))
-        turned = lift(q, True)
-        a, b, s = [], [], []
-        for i in range(len(q)):
-            at, d = index.nearest(turned[i], k, int(qid[i]))
-            if len(at) > k:
-                kth = np.partition(d, k - 1)[k - 1]
-                at = at[d <= kth * (1 + 1e-9) + 1e-9]
-            score = inner(v[at], q[i])
-            if len(at) > k:
-                order = np.lexsort((ids[at], -score))[:k]
-                at, score = at[order], score[order]
-            a.append(np.full(len(at), qid[i]))
-            b.append(ids[at])
-            s.append(score)
-        return pa.table({"query_id": np.concatenate(a), "vec_id": np.concatenate(b), "score": np.concatenate(s)})
-
-    found = base.groupBy("list", "part").cogroup(ask.groupBy("list", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        if left.num_rows and right.num_rows:
+            ids = left.column("vec_id").to_numpy()
+            v = np.asarray(left.column("v").combine_chunks().flatten()).reshape(-1, dim)
+            qid, bound = right.column("query_id").to_numpy(), right.column("bound").to_numpy()
+            q = np.asarray(right.column("q").combine_chunks().flatten()).reshape(-1, dim)
+            index = ColumnScan(lift(v, False))
+            for lo in range(0, len(q), 512):
+                hi = lo + 512
+                a, at = index.within(lift(q[lo:hi], True), bound[lo:hi])
+                own = ids[at] != qid[lo:hi][a]
+                a, at = a[own], at[own]
+                score = inner(v[at], q[lo:hi][a])
+                order = np.lexsort((ids[at], -score, a))
+                a, at, score = a[order], at[order], score[order]
+                place = np.arange(len(a)) - np.searchsorted(a, a)
+                top = place < k
+                out.append(pa.table({"query_id": qid[lo:hi][a[top]], "vec_id": ids[at[top]], "score": score[top]}))
+        return pa.concat_tables(out)
+
+    def best(asked: DataFrame) -> DataFrame:
+        asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), asks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), rows - 1)).alias("part"))
+        found = base.groupBy("list", "part", "turn").cogroup(asked.groupBy("list", "part", "turn")).applyInArrow(scan, "query_id long, vec_id long, score double")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    out = best(asking)
+    if n <= k:
+        return out
+    # queries that found too few in their lists within their bound are asked of all lists without one
+    out = written(out, "neighbours")
+    queries = good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    enough = out.where(F.col("rank") == k).select("query_id")
+    short = written(queries.join(enough, "query_id", "left_anti"), "short-queries")
+    if not short.take(1):
+        return out
+    again = short.select("query_id", "q", F.lit(float("inf")).alias("bound"), F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))).alias("list"))
+    return out.join(enough, "query_id", "left_semi").unionByName(best(again))
 
 
 def inner(v: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -237,7 +237,8 @@ def test_neighbours_of_odd_vectors(spark):
 
 
 def test_neighbours_recall_and_split_lists(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 100)
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    monkeypatch.setattr(ann, "LIST_QUERIES", 15)
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     want = {(q, v) for q, _, v, _ in brute_nearest(rows)}
