@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +44,26 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one large object (a model, an index), the last that was asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are reused, and many share a machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -53,6 +74,8 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | li
                 if got is None:
                     continue
                 yield from got if isinstance(got, list) else [got]
+                del got
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, blocks, flat, map_batches, mix
+from .common import U64, batch, blocks, flat, held, map_batches, mix
 from .words import Sieve, word_hashes
 
 #: Which of a window's words count; the others may differ. Two patterns find more than one of them twice as dense.
@@ -154,20 +156,18 @@ def rows_of(rows) -> tuple[list[int], bytes, np.ndarray]:
     return [r["i"] for r in rows], b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-_indexes: dict[int, Items] = {}
+def _searcher(shared, least: float, run: int, least_words: int):
+    name = uuid.uuid4().hex
 
+    def load() -> Items:
+        ids, text, offs = shared.value
+        return Items(ids, np.frombuffer(text, np.uint8), offs, least_words)
 
-def _searcher(shared, least: float, run: int, least_words: int):
     def search(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, text, offs = shared.value
-        key = id(shared.value)
-        if key not in _indexes:
-            _indexes.clear()
-            _indexes[key] = Items(ids, np.frombuffer(text, np.uint8), offs, least_words)
-        index = _indexes[key]
+        index = held(name, load)
         buf, offsets = flat(b.column(1))
         out = []
-        for i, j in blocks(offsets, 2 << 20):
+        for i, j in blocks(offsets, 1 << 20):
             words, upto = word_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             out += [(i + d, *rest) for d, *rest in index.search(words, upto, least, run)]
         if not out:

@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, drop_written, map_batches, mix, written
+from .common import U64, batch, drop_written, held, map_batches, mix, written
 
 _LEVEL_SALTS = [U64(x | 1) for x in np.random.default_rng(7).integers(1, 1 << 62, 64).tolist()]
 _SHARD = "shard int, levels binary, bits binary, ranks binary, prints binary, counts binary"
@@ -146,18 +146,13 @@ class ShardReader:
         return got
 
 
-_readers: dict[str, ShardReader] = {}
-
-
 def probe(path: str, shards: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Documents with each line, from the arrays; 1 where the line isn't stored."""
-    if path not in _readers:
-        _readers.clear()
-        _readers[path] = ShardReader(path)
+    reader = held(path, lambda: ShardReader(path))
     out = np.ones(len(h1), np.int64)
     which = h2.astype(np.int64) % shards
     for s in np.unique(which).tolist():
-        got = _readers[path].get(s)
+        got = reader.get(s)
         if got is None:
             continue
         ph, prints, counts = got

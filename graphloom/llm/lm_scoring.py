@@ -10,24 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import batch, drop_written, flat, map_batches, written
+from .common import batch, drop_written, flat, held, map_batches, written
 
 #: A join with the labels broadcasts their ids up to so many rows (16 MB); beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
-_pairs: dict[tuple, tuple] = {}
-
-
 def _pair(paths: tuple[str, str], order: int, size: int) -> tuple:
-    """Both models, read once by a worker."""
-    if paths not in _pairs:
-        _pairs.clear()
-        got = []
-        for p in paths:
-            f, root = fs.FileSystem.from_uri(p)
-            t = pq.read_table(root, filesystem=f)
-            got.append(ngrams.Model(*(t.column(c).to_numpy() for c in ("n", "key", "p", "g")), order, size))
-        _pairs[paths] = tuple(got)
-    return _pairs[paths]
+    """Both models from the shared folder."""
+    got = []
+    for p in paths:
+        f, root = fs.FileSystem.from_uri(p)
+        t = pq.read_table(root, filesystem=f)
+        got.append(ngrams.Model(*(t.column(c).to_numpy() for c in ("n", "key", "p", "g")), order, size))
+    return tuple(got)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, order: int = 4, least_chars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,7 +53,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, order: int = 4,
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
         buf, offsets = flat(b.column(1))
         table = ngrams.numbers(vocab)
-        models = _pair(paths, order, size)
+        models = held(paths, lambda: _pair(paths, order, size))
         (t, n_), (g, _) = (ngrams.mean_loss(m, table, buf, offsets) for m in models)
         return batch(schema, b.column(0), n_, t, g)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, blocks, drop_written, flat, map_batches, written
+from .common import U64, batch, blocks, flat, map_batches, release, written
 from .transducer import _code_points
 
 BITS = 12
@@ -80,21 +80,22 @@ def gram_counts(docs: DataFrame, vocab: np.ndarray, order: int, flags: list[str]
         for b in batches:
             buf, offsets = flat(b.column(0))
             marks = [np.asarray(b.column(1 + k).fill_null(False)) for k in range(len(flags))]
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, 1 << 20):
                 key, starts = keys_of(table, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
                 u, inv = np.unique(key, return_inverse=True)
                 own = [np.bincount(inv, minlength=len(u))]
                 for m in marks:
                     own.append(np.bincount(inv, weights=np.repeat(m[i:j], np.diff(starts)), minlength=len(u)).astype(np.int64))
                 parts.append((u, own))
-                if sum(len(p[0]) for p in parts) > 4_000_000:
+                if sum(len(p[0]) for p in parts) > 2_000_000:
                     parts = [merge(parts)]
-                    if len(parts[0][0]) > 3_000_000:
+                    if len(parts[0][0]) > 1_500_000:
                         yield batch(fields, parts[0][0], *parts[0][1])
                         parts = []
         if parts:
             u, own = merge(parts)
             yield batch(fields, u, *own)
+        release()
 
     src = docs.select(docs[text_col].alias("text"), *(docs[f].cast("boolean").alias(f) for f in flags))
     parts = src.mapInArrow(count, ", ".join(f"{n} long" for n, _ in fields))
@@ -138,7 +139,7 @@ class Table:
     """Open hash table from int64 keys to float32 values, probed in bulk."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(np.ceil(np.log2(max(len(keys), 1) * 3))))
+        self.bits = max(8, int(np.ceil(np.log2(max(len(keys), 1) * 2))))
         size = 1 << self.bits
         self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float32)
         slot, todo = self._slot(keys), np.arange(len(keys))
@@ -202,7 +203,7 @@ class Model:
 def mean_loss(model: Model, table: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's mean loss per character (nats, the end counted as one) and number of characters."""
     loss, size = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-    for i, j in blocks(offsets, 2 << 20):
+    for i, j in blocks(offsets, 1 << 19):
         key, starts = keys_of(table, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.order)
         loss[i:j] = -np.add.reduceat(model.score(key).astype(np.float64), starts[:-1]) / np.diff(starts)
         size[i:j] = np.diff(starts) - 1

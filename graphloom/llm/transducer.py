@@ -22,7 +22,7 @@ import regex
 import tiktoken
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import U64, blocks
+from .common import U64, blocks, held
 
 # ------------------------------------------------------------------ splitter
 
@@ -422,9 +422,8 @@ class Merger:
         return count, np.where(end, last, -1)
 
 
-@lru_cache(maxsize=4)
 def merger(path: str) -> Merger:
-    return Merger(path)
+    return held(("merger", path), lambda: Merger(path))
 
 
 @lru_cache(maxsize=2)
