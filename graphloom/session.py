@@ -10,11 +10,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds this package to the application's Python files, once, so that Python workers can import it wherever they run."""
+    """Adds this package to the application's Python files, once, so that Python workers can import it wherever they run.
+
+    Arrow batches are cut to 1,000 rows unless the session asks otherwise: rows hold whole texts, and a batch is held
+    several times over while it is handed to Python.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS, "10000") == "10000":
+        spark.conf.set(_ROWS, "1000")
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         at = os.path.join(tempfile.mkdtemp(prefix="graphloom-py-"), "graphloom.zip")
@@ -26,7 +33,7 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "12g") -> SparkSession:
+def session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str = "12g", more: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
     return ship(
         SparkSession.builder.master(f"local[{cpus}]")
@@ -37,5 +44,6 @@ def session(cpus: int = 8, shuffle_partitions: int | None = None, memory: str =
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=more or {})
         .getOrCreate()
     )

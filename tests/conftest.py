@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from graphloom.session import session
 
-    s = session(8, 4, "6g")
+    s = session(8, 2, "6g", {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"})
     s.sparkContext.setLogLevel("ERROR")
     return s
 
