@@ -29,10 +29,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates one row: that with the smallest id (null ids last), then the smallest text."""
     ship(spark)
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, docs["doc_id"] == first["_id"], "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

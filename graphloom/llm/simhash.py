@@ -255,11 +255,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return batch([("doc_id", pa.int64()), ("f", pa.int64())], b.column(0), fingerprints(buf, offsets, shingle).view(np.int64))
 
     rows = written(map_batches(src, prints, "doc_id long, f long"), "fingerprints")
+    return hot_join(rows, _classes(rows, most), "f", "n").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+
+
+def _classes(rows: DataFrame, most: int) -> DataFrame:
+    """From (doc_id, f): a row per fingerprint (f, n, n_near, component_id, root, size); ``size`` rows have the ``root``."""
     classes = written(rows.groupBy("f").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "classes")
     near, links = near_links(classes.select("f", "n"), most)
     roots = components(links)
     with_root = classes.join(roots, F.col("f") == F.col("node"), "left").select("f", "n", "low", F.coalesce("root", "f").alias("root"))
-    least = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
-    info = with_root.join(least, "root").join(near, "f", "left").select("f", "n", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
-    info = written(info, "classes-linked")
-    return hot_join(rows, info, "f", "n").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    least = with_root.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("size"))
+    info = with_root.join(least, "root").join(near, "f", "left").select("f", "n", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id", "root", "size")
+    return written(info, "classes-linked")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
+    """Exactly one row (all columns) per component of ``near_duplicates``: the first by (doc_id, text, other columns), null ids last.
+
+    Components are told by their fingerprints, so ids may be null or repeated. The columns must have an order. Rows alone
+    in their component aren't shuffled by it; of the others each task passes on one a component.
+    """
+    at, names = docs.columns.index("text"), docs.columns
+
+    def prints(b: pa.RecordBatch) -> pa.RecordBatch:
+        buf, offsets = flat(b.column(at))
+        f = fingerprints(buf, offsets, shingle).view(np.int64)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(f, pa.int64())], names=[*names, "_f"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = written(map_batches(docs, prints, f"{kinds}, _f long"), "fingerprinted")
+    info = _classes(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_f").alias("f")), most)
+    info = info.select(F.col("f").alias("_f"), F.col("n").alias("_n"), F.col("root").alias("_root"), F.col("size").alias("_size"))
+    linked = hot_join(rows, info, "_f", "_n")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text", *(n for n in names if n not in ("doc_id", "text")))
+    first = linked.where("_size > 1").groupBy("_root").agg(F.min(order).alias("_first"))
+    return linked.where("_size = 1").select(*names).unionByName(first.select(*(F.col("_first")[n].alias(n) for n in names)))

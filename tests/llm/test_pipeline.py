@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its five stages."""
 
 import math
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -97,3 +98,15 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    rnd = random.Random(34)
+    text = lambda: " ".join("w%d" % rnd.randrange(10_000) for _ in range(300))
+    a, b, c, d, e = (text() for _ in range(5))
+    others = (f"{a.rsplit(' ', 1)[0]} end{k}" for k in range(100))
+    near = next(t for t in others if 0 < (brute_fingerprint(a) ^ brute_fingerprint(t)).bit_count() <= 3)
+    rows = [(3, a), (5, near), (5, b), (None, c), (None, c), (None, d), (None, near), (7, d), (8, e), (8, e), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert Counter(got) == Counter([(3, a), (5, b), (None, c), (7, d), (8, e), (9, None)])
