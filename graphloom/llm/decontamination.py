@@ -1,4 +1,4 @@
-"""Operator 6: benchmark decontamination by spaced seeds."""
+"""Operator 6: benchmark decontamination by pairs of words."""
 
 from __future__ import annotations
 
@@ -12,100 +12,131 @@ from pyspark.sql import functions as F
 from .common import U64, batch, blocks, flat, held, map_batches, mix
 from .words import Sieve, word_hashes
 
-#: Which of a window's words count; the others may differ. Two patterns find more than one of them twice as dense.
-MASKS = ("110100110101", "111010010111")
+#: Pairs on one alignment from which its best stretch is joined with those of others: four words in a row have so many.
+JOINED = 5
+#: Pairs of a text and the items that are compared at a time.
+ROWS = 1 << 20
 #: Bytes of test text that are held, and broadcast, at a time.
 BLOCK = 32 << 20
 _SCHEMA = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("item_words", pa.int64()), ("overlap", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())]
 
 
-def _weights(n: int) -> np.ndarray:
-    return np.random.default_rng(99).integers(1, 1 << 63, n, dtype=np.uint64) | U64(1)
+def pair_hashes(words: np.ndarray, gap: int) -> np.ndarray:
+    """Hash of each word and the one ``gap`` places on; with no gap, of each word."""
+    if gap == 0:
+        return mix(words)
+    n = len(words) - gap
+    return mix(words[:n] * U64(0x9E3779B97F4A7C15) + words[gap:] + U64(gap)) if n > 0 else np.zeros(0, U64)
 
 
-_W = _weights(64)
+def pairs_needed(n: int, least: float, run: int) -> tuple[int, int]:
+    """(gap, pairs): an alignment that counts has at least so many pairs of matching words at most ``gap`` places apart.
 
-
-def seed_hashes(words: np.ndarray, places: list[int], salt: int) -> np.ndarray:
-    """Hash of the words at ``places`` after each position; defined while the last place is inside ``words``."""
-    n = len(words) - places[-1]
-    if n <= 0:
-        return np.zeros(0, U64)
-    h = np.full(n, salt, U64)
-    for k, p in enumerate(places):
-        h += words[p : p + n] * _W[k]
-    return mix(h)
-
-
-def _masks(shortest: int) -> list[tuple[list[int], int]]:
-    """Places and span of each seed. Items shorter than the patterns have a seed of all their words."""
-    out = [([i for i, c in enumerate(m) if c == "1"], len(m)) for m in MASKS]
-    return out + [(list(range(n)), n) for n in range(shortest, min(len(m) for m in MASKS))]
+    ``h`` matches within ``n`` words lie (n - 1) / (h - 1) places apart at the least, and each gap wider than that takes
+    more of the words that don't match. A stretch that scores ``run`` has ``run`` - 1 neighbouring pairs.
+    """
+    h = max(1, int(np.ceil(least * n - 1e-9)))
+    if h == 1 or run <= 1:
+        return 0, 1
+    gap = (n - 1) // (h - 1)
+    return gap, min(h - 1 - (n - h) // gap, run - 1)
 
 
 class Items:
-    """Test items by seed hash."""
+    """Test items by the hashes of their word pairs."""
 
-    def __init__(self, ids: list[int], buf: np.ndarray, offsets: np.ndarray, least_words: int):
+    def __init__(self, ids: list[int], buf: np.ndarray, offsets: np.ndarray, least_words: int, least: float, run: int):
         words, upto = word_hashes(buf, offsets)
         self.ids, self.words, self.upto = np.array(ids, np.int64), words, upto
-        self.masks = []
         size = np.diff(upto)
-        for salt, (places, span) in enumerate(_masks(least_words)):
-            own = np.flatnonzero(size == span) if span < len(MASKS[0]) else np.flatnonzero(size >= span)
-            h, item, at = [], [], []
-            for i in own.tolist():
-                x = seed_hashes(words[upto[i] : upto[i + 1]], places, salt)
-                h.append(x)
-                item.append(np.full(len(x), i))
-                at.append(np.arange(len(x)))
-            if not h:
+        known = {n: pairs_needed(n, least, run) for n in np.unique(size).tolist() if n >= least_words}
+        gaps = np.array([known[n][0] if n in known else -1 for n in size.tolist()], np.int64)
+        self.needed = np.array([known[n][1] if n in known else 0 for n in size.tolist()], np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        self.pairs = []
+        for gap in range(int(gaps.max(initial=-1)) + 1):
+            h = pair_hashes(words, gap)
+            at = np.arange(len(h))
+            item = owner[: len(h)]
+            of = gaps[item]
+            ok = (owner[gap:] == item) & ((of >= gap) if gap else (of == 0))
+            h, at, item = h[ok], at[ok], item[ok]
+            if not len(h):
                 continue
-            h, item, at = np.concatenate(h), np.concatenate(item), np.concatenate(at)
             order = np.argsort(h, kind="stable")
             h, item, at = h[order], item[order], at[order]
             sieve = Sieve(h)
-            self.masks.append((places, span, salt, sieve, np.searchsorted(h, sieve.keys, "left"), np.searchsorted(h, sieve.keys, "right"), item, at))
+            self.pairs.append((gap, sieve, np.searchsorted(h, sieve.keys, "left"), np.searchsorted(h, sieve.keys, "right"), item, at - upto[item]))
 
     def search(self, words: np.ndarray, upto: np.ndarray, least: float, run: int) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, matched, item's words, first, last word) of the overlaps that count."""
-        found = []
-        size = len(self.upto)
-        for places, span, salt, sieve, lo, hi, item, at in self.masks:
-            h = seed_hashes(words, places, salt)
-            p, k = sieve.find(h)
-            if not len(p):
-                continue
+        hits = []
+        weight = np.zeros(len(upto), np.int64)
+        for gap, sieve, lo, hi, item, at in self.pairs:
+            p, k = sieve.find(pair_hashes(words, gap))
             doc = np.searchsorted(upto, p, "right") - 1
-            ok = p + span <= upto[doc + 1]
+            ok = p + gap < upto[doc + 1]
             p, k, doc = p[ok], k[ok], doc[ok]
-            n = hi[k] - lo[k]
+            hits.append((p, doc, lo[k], hi[k] - lo[k], item, at))
+            weight += np.bincount(doc, weights=hi[k] - lo[k], minlength=len(upto)).astype(np.int64)
+        out = []
+        total = np.concatenate([[0], np.cumsum(weight)])
+        i, end = 0, len(upto) - 1
+        while i < end:  # texts with about ROWS pairs together
+            j = max(i + 1, int(np.searchsorted(total, total[i] + ROWS, "right")) - 1)
+            j = min(j, end)
+            if total[j] > total[i]:
+                out += self._compare(hits, i, j, words, upto, least, run)
+            i = j
+        return out
+
+    def _compare(self, hits: list, i: int, j: int, words: np.ndarray, upto: np.ndarray, least: float, run: int) -> list[tuple[int, int, int, int, int, int]]:
+        """Alignments of texts ``i`` to ``j``, each compared word by word if it has enough pairs."""
+        docs, items, shifts = [], [], []
+        for p, doc, lo, n, item, at in hits:
+            a, b = np.searchsorted(doc, [i, j])
+            p, doc, lo, n = p[a:b], doc[a:b], lo[a:b], n[a:b]
             row = np.repeat(np.arange(len(p)), n)
-            j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[k], n)
-            found.append(np.stack([doc[row], item[j], p[row] - at[j]], axis=1))
-        if not found:
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            docs.append(doc[row] - i)
+            items.append(item[k])
+            shifts.append(p[row] - at[k])
+        doc, item, shift = np.concatenate(docs), np.concatenate(items), np.concatenate(shifts)
+        if not len(doc):
             return []
-        cand = np.unique(np.concatenate(found), axis=0)
+        back = int(shift.min())
+        reach = int(shift.max()) - back + 1
+        key, pairs = np.unique((doc * len(self.ids) + item) * reach + (shift - back), return_counts=True)
+        of, shift = key // reach, key % reach + back
+        item = of % len(self.ids)
+        ok = pairs >= np.minimum(self.needed[item], JOINED)
+        of, shift, item, pairs = of[ok], shift[ok], item[ok], pairs[ok]
         out = []
-        key = cand[:, 0] * size + cand[:, 1]
-        cut = np.flatnonzero(np.diff(key)) + 1
-        for part in np.split(cand, cut):
-            d, i = int(part[0, 0]), int(part[0, 1])
-            own = self.words[self.upto[i] : self.upto[i + 1]]
+        cut = np.flatnonzero(np.diff(of)) + 1
+        starts = np.concatenate([[0], cut]) if len(of) else cut
+        for s, e in zip(starts.tolist(), [*cut.tolist(), len(of)]):
+            d, t = int(of[s]) // len(self.ids) + i, int(item[s])
+            if pairs[s:e].max() < min(JOINED, self.needed[t]):
+                continue
+            own = self.words[self.upto[t] : self.upto[t + 1]]
             hit = np.zeros(len(own), bool)
             longest, first, last = 0, 1 << 60, -1
-            for diag in part[:, 2].tolist():
+            for diag, n in zip(shift[s:e].tolist(), pairs[s:e].tolist()):
                 a = max(0, int(upto[d]) - diag)
                 b = min(len(own), int(upto[d + 1]) - diag)
                 same = own[a:b] == words[diag + a : diag + b]
-                best, s, e = _segment(same)
-                hit[a + s : a + e] |= same[s:e]
+                best, x, y = _segment(same)
                 longest = max(longest, best)
-                if e > s:
-                    first, last = min(first, diag + a + s), max(last, diag + a + e - 1)
+                if same.sum() >= least * len(own):  # all stretches of this alignment
+                    on = np.flatnonzero(same)
+                    x, y = int(on[0]), int(on[-1]) + 1
+                elif n < JOINED and best < run:
+                    continue
+                hit[a + x : a + y] |= same[x:y]
+                first, last = min(first, diag + a + x), max(last, diag + a + y - 1)
             n = int(hit.sum())
             if n >= least * len(own) or longest >= run:
-                out.append((d, i, n, len(own), first - int(upto[d]), last - int(upto[d])))
+                out.append((d, t, n, len(own), first - int(upto[d]), last - int(upto[d])))
         return out
 
 
@@ -124,9 +155,10 @@ def _segment(same: np.ndarray) -> tuple[int, int, int]:
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, run: int = 24, least_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """Row per document and test item that overlap: (doc_id, item_id, matched, item_words, overlap, start_word, end_word).
 
-    Words are compared without case and punctuation. A spaced seed that matches starts a comparison of text and item word
-    by word on that alignment, in which single substitutions are bridged. An overlap counts if matched words make up
-    ``least`` of the item, or one stretch scores ``run``. Items of fewer than ``least_words`` words are too general to
+    Words are compared without case and punctuation. Text and item are compared word by word on each alignment that has
+    enough pairs of near words in common (``pairs_needed``), so that none that counts is missed, wherever words differ. An
+    overlap counts if the words matched on one alignment make up ``least`` of the item, or those of the best stretches of
+    several alignments together, or one stretch scores ``run``. Items of fewer than ``least_words`` words are too general to
     be searched; null texts have none. Repeated documents give a row each; no items or no documents give no rows.
 
     The items are taken in blocks of ``block_bytes``; each block is indexed and broadcast, and all documents are run past
@@ -161,7 +193,7 @@ def _searcher(shared, least: float, run: int, least_words: int):
 
     def load() -> Items:
         ids, text, offs = shared.value
-        return Items(ids, np.frombuffer(text, np.uint8), offs, least_words)
+        return Items(ids, np.frombuffer(text, np.uint8), offs, least_words, least, run)
 
     def search(b: pa.RecordBatch) -> pa.RecordBatch | None:
         index = held(name, load)

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from graphloom.llm import ann, decontamination, licenses, line_dedup, lm_scoring, ngrams, packing, quality, sharding, simhash, token_counts, transducer
 from graphloom.llm.common import flat, span_hash, xxh64
+from graphloom.llm.words import word_hashes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(VOCABULARY)
@@ -369,6 +370,40 @@ def test_decontamination_finds_every_whole_passage(spark):
     assert want and want <= got
 
 
+def test_decontamination_finds_every_half_overlap():
+    """Random substitutions and fragments against the number of words left; half the items of a length have one word too few."""
+    rnd = random.Random(66)
+    new = lambda: "w%d" % rnd.randrange(10**9)
+    for m in range(4, 61):
+        tests = [[new() for _ in range(m)] for _ in range(24)]
+        texts, want = [], {}
+        for k, item in enumerate(tests):
+            n = -(-m // 2) - (k % 4 >= 2)
+            a = rnd.randrange(m - n + 1)
+            left = set(rnd.sample(range(m), n) if k % 2 else range(a, a + n))
+            texts.append([*(new() for _ in range(rnd.randrange(20))), *(x if i in left else new() for i, x in enumerate(item)), new()])
+            if 2 * n >= m:
+                want[k, k] = n
+        rows = [(0, *(x.encode() for x in (" ".join(t) + "\n" for t in rows))) for rows in (tests, texts)]
+        (test, test_at), (text, text_at) = ((np.frombuffer(b"".join(r[1:]), np.uint8), np.cumsum([0, *map(len, r[1:])])) for r in rows)
+        index = decontamination.Items(list(range(24)), test, test_at, 4, 0.5, 100)
+        assert {(d, i): n for d, i, n, *_ in index.search(*word_hashes(text, text_at), 0.5, 100)} == want, m
+
+
+def test_decontamination_of_many_alignments(monkeypatch):
+    """An item cut up by insertions is found from its stretches together, also if texts are compared a few pairs at a time."""
+    item = ["i%d" % k for k in range(60)]
+    cut = [w for k in range(0, 60, 10) for w in [*item[k : k + 10], "more"]]
+    texts = [" ".join(x).encode() for x in (cut, item[:20], item * 3, ["none"] * 9)]
+    text, text_at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    own = " ".join(item).encode()
+    index = decontamination.Items([5], np.frombuffer(own, np.uint8), np.array([0, len(own)]), 4, 0.5, 24)
+    got = index.search(*word_hashes(text, text_at), 0.5, 24)
+    assert [(d, n) for d, _, n, *_ in got] == [(0, 60), (2, 60)]
+    monkeypatch.setattr(decontamination, "ROWS", 1)
+    assert index.search(*word_hashes(text, text_at), 0.5, 24) == got
+
+
 # ------------------------------------------------------------------ 7
 
 def test_packing_round_trip(spark):
