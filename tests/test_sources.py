@@ -203,6 +203,15 @@ def test_resolve_rust(spark):
         assert g == [want], s
 
 
+def test_resolve_rust_in_many_crates(spark):
+    crates = ["c%05d" % k for k in range(10_050)]
+    known = [f"{c}/src/{f}" for c in crates for f in ("lib.rs", "a.rs")] + ["c00007/src/bin/tool.rs", "c00007/src/deep/b.rs", "loose.rs"]
+    cases = [(f"{c}/src/lib.rs", "crate::a::Item", ("resolved", f"{c}/src/a.rs", None)) for c in (crates[0], crates[9_999], crates[10_000], crates[-1])]
+    cases += [("c00007/src/bin/tool.rs", "crate::a", ("resolved", "c00007/src/a.rs", None)), ("c00007/src/deep/b.rs", "a::f", ("resolved", "c00007/src/a.rs", None)), ("loose.rs", "crate::a", ("unresolved", "file_not_found", None))]
+    got = resolved(spark, resolve.resolve_rust, [(p, s) for p, s, _ in cases], known)
+    assert got == [[want] for _, _, want in cases]
+
+
 # ------------------------------------------------------------------ functions
 
 def test_globs(spark):
