@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, batch, blocks, flat, held, map_batches, mix
-from .words import Sieve, word_hashes
+from .words import Sieve, word_hashes, word_spans
 
 #: Pairs on one alignment from which its best stretch is joined with those of others: four words in a row have so many.
 JOINED = 5
@@ -45,13 +45,19 @@ def pairs_needed(n: int, least: float, run: int) -> tuple[int, int]:
 class Items:
     """Test items by the hashes of their word pairs."""
 
-    def __init__(self, ids: list[int], buf: np.ndarray, offsets: np.ndarray, least_words: int, least: float, run: int):
+    def __init__(self, ids: list[int], buf: np.ndarray, offsets: np.ndarray, least_words: int, least: float, run: int, least_bytes: int = 12):
         words, upto = word_hashes(buf, offsets)
         self.ids, self.words, self.upto = np.array(ids, np.int64), words, upto
         size = np.diff(upto)
-        known = {n: pairs_needed(n, least, run) for n in np.unique(size).tolist() if n >= least_words}
-        gaps = np.array([known[n][0] if n in known else -1 for n in size.tolist()], np.int64)
-        self.needed = np.array([known[n][1] if n in known else 0 for n in size.tolist()], np.int64)
+        start, end, alone, _ = word_spans(buf, offsets)
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[upto])
+        part = sums(np.where(alone, 1, 2)) >= 2 * least_words
+        whole = (size > 1) & (sums(end - start) >= least_bytes)
+        self.part = part  # the others are searched whole
+        share = np.where(part, least, 1.0)
+        known = {(n, x): pairs_needed(n, x, run) for n, x in set(zip(size.tolist(), share.tolist())) if n}
+        both = [known[n, x] if ok and n else (-1, 0) for n, x, ok in zip(size.tolist(), share.tolist(), (part | whole).tolist())]
+        gaps, self.needed = (np.array([x[k] for x in both], np.int64) for k in (0, 1))
         owner = np.repeat(np.arange(len(size)), size)
         self.pairs = []
         for gap in range(int(gaps.max(initial=-1)) + 1):
@@ -119,6 +125,7 @@ class Items:
             if pairs[s:e].max() < min(JOINED, self.needed[t]):
                 continue
             own = self.words[self.upto[t] : self.upto[t + 1]]
+            share = least if self.part[t] else 1.0
             hit = np.zeros(len(own), bool)
             longest, first, last = 0, 1 << 60, -1
             for diag, n in zip(shift[s:e].tolist(), pairs[s:e].tolist()):
@@ -127,7 +134,7 @@ class Items:
                 same = own[a:b] == words[diag + a : diag + b]
                 best, x, y = _segment(same)
                 longest = max(longest, best)
-                if same.sum() >= least * len(own):  # all stretches of this alignment
+                if same.sum() >= share * len(own):  # all stretches of this alignment
                     on = np.flatnonzero(same)
                     x, y = int(on[0]), int(on[-1]) + 1
                 elif n < JOINED and best < run:
@@ -135,7 +142,7 @@ class Items:
                 hit[a + x : a + y] |= same[x:y]
                 first, last = min(first, diag + a + x), max(last, diag + a + y - 1)
             n = int(hit.sum())
-            if n >= least * len(own) or longest >= run:
+            if n >= share * len(own) or longest >= run:
                 out.append((d, t, n, len(own), first - int(upto[d]), last - int(upto[d])))
         return out
 
@@ -152,14 +159,16 @@ def _segment(same: np.ndarray) -> tuple[int, int, int]:
     return int(gain[e]), s, e + 1
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, run: int = 24, least_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, run: int = 24, least_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK, least_bytes: int = 12) -> DataFrame:
     """Row per document and test item that overlap: (doc_id, item_id, matched, item_words, overlap, start_word, end_word).
 
     Words are compared without case and punctuation. Text and item are compared word by word on each alignment that has
     enough pairs of near words in common (``pairs_needed``), so that none that counts is missed, wherever words differ. An
     overlap counts if the words matched on one alignment make up ``least`` of the item, or those of the best stretches of
-    several alignments together, or one stretch scores ``run``. Items of fewer than ``least_words`` words are too general to
-    be searched; null texts have none. Repeated documents give a row each; no items or no documents give no rows.
+    several alignments together, or one stretch scores ``run``. Words are split at Unicode punctuation
+    and white space; a character of a script without spaces is a word, and counts half a one in ``least_words``. Items of
+    fewer than ``least_words`` must occur whole; those of one word or whose words have fewer than ``least_bytes`` bytes
+    (four Chinese characters) are too general to be searched; null texts have none. Repeated documents give a row each; no items or no documents give no rows.
 
     The items are taken in blocks of ``block_bytes``; each block is indexed and broadcast, and all documents are run past
     it, so no block outgrows its bound and documents are never shuffled.
@@ -172,7 +181,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, run: int
     out = None
     for k in range(parts):
         rows = test.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()
-        got = map_batches(src, _searcher(spark.sparkContext.broadcast(rows_of(rows)), least, run, least_words), "doc_id long, item_id long, matched long, item_words long, overlap double, start_word long, end_word long")
+        got = map_batches(src, _searcher(spark.sparkContext.broadcast(rows_of(rows)), least, run, least_words, least_bytes), "doc_id long, item_id long, matched long, item_words long, overlap double, start_word long, end_word long")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -188,12 +197,12 @@ def rows_of(rows) -> tuple[list[int], bytes, np.ndarray]:
     return [r["i"] for r in rows], b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def _searcher(shared, least: float, run: int, least_words: int):
+def _searcher(shared, least: float, run: int, least_words: int, least_bytes: int):
     name = uuid.uuid4().hex
 
     def load() -> Items:
         ids, text, offs = shared.value
-        return Items(ids, np.frombuffer(text, np.uint8), offs, least_words, least, run)
+        return Items(ids, np.frombuffer(text, np.uint8), offs, least_words, least, run, least_bytes)
 
     def search(b: pa.RecordBatch) -> pa.RecordBatch | None:
         index = held(name, load)

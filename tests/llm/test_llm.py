@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from graphloom.llm import ann, decontamination, licenses, line_dedup, lm_scoring, ngrams, packing, quality, sharding, simhash, token_counts, transducer
 from graphloom.llm.common import flat, span_hash, xxh64
-from graphloom.llm.words import word_hashes
+from graphloom.llm.words import word_hashes, word_spans
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(VOCABULARY)
@@ -404,6 +404,27 @@ def test_decontamination_of_many_alignments(monkeypatch):
     assert index.search(*word_hashes(text, text_at), 0.5, 24) == got
 
 
+def test_words_of_scripts_without_spaces():
+    texts = ["Don’t “stop” —\u00a0now… ÄPFEL", "Don't \"stop\" - now ÄPFEL", "他说：你好。abcカナ", "ไทย", "", "🙂🙂 é…"]
+    raw = [t.encode() for t in texts]
+    buf, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    s, e, alone, upto = word_spans(buf, at)
+    words = [bytes(buf[a:b]).decode() for a, b in zip(s, e)]
+    own = [words[a:b] for a, b in zip(upto, upto[1:])]
+    assert own == [["Don", "t", "stop", "now", "ÄPFEL"]] * 2 + [["他", "说", "你", "好", "abc", "カ", "ナ"], list("ไทย"), [], ["🙂🙂", "é"]]
+    assert alone[upto[2] : upto[3]].tolist() == [True] * 4 + [False, True, True]
+    h, n = word_hashes(buf, at)
+    assert n.tolist() == upto.tolist() and h[:5].tolist() == h[5:10].tolist()
+
+
+def test_decontamination_of_other_scripts(spark):
+    long, short = "水在标准大气压下的沸点是多少摄氏度", "光合作用"
+    items = spark.createDataFrame([(1, long), (2, short), (3, "“Isn’t it — really — so?”"), (4, "the moon landing"), (5, "on it"), (6, "沸点")], "item_id long, text string")
+    texts = [f"请回答下面的问题：{long}？谢谢大家", f"我们学习了{short}的过程", "光和作用", f"前{long[:9]}后", f"前{long[:8]}后", 'isn\'t it-really-so', "he saw the moon landing on it", "the moon, a landing", "沸点"]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, texts), items).collect()}
+    assert got == {(0, 1), (1, 2), (3, 1), (5, 3), (6, 4)}
+
+
 # ------------------------------------------------------------------ 7
 
 def test_packing_round_trip(spark):
