@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import globs, paths
 from graphloom.operators import iterate
 from graphloom.operators.graph import CodeGraph, SymbolGraph
+from graphloom.shared import written
 
 _HIDDEN_KINDS = ("import", "export", "package")
 
@@ -113,11 +116,13 @@ def reexport_rules(g: CodeGraph) -> DataFrame:
 
 
 def propagated_names(g: CodeGraph) -> DataFrame:
+    """(file_id, name) that is imported anywhere, or through chains of re-exports."""
     return iterate.fixpoint_names(used_names(g), reexport_rules(g))
 
 
 def dead_exports(g: CodeGraph) -> DataFrame:
     """(file_id, path, exported_name, line, confidence) of exports of non-entry files that nothing imports; re-exports aren't reported."""
+    g = g if hasattr(g.edges, "_graphloom_path") else replace(g, edges=written(g.edges, "graph-edges"))  # names and re-export rules both read them
     used = propagated_names(g)
     mine = g.exports.where("not is_reexport").join(g.nodes.where("not is_entry_point").select(F.col("id").alias("file_id"), "path"), "file_id")
     open_ = mine.join(used.withColumnRenamed("name", "exported_name"), ["file_id", "exported_name"], "left_anti")
@@ -179,7 +184,8 @@ def by_language(g: CodeGraph) -> DataFrame:
 
 def project_summary(g: CodeGraph) -> DataFrame:
     n = lambda d: d.agg(F.count("*")).scalar()
-    c = cycles(g)
+    g = g.stored()
+    c = written(cycles(g).select("length"), "cycles")
     return g.nodes.agg(F.count("*").alias("files"), F.count_if("is_entry_point").alias("entry_points")).select(
         "files", "entry_points", n(g.edges).alias("imports"), n(g.unresolved).alias("unresolved"), n(dead_files(g)).alias("dead_files"), n(dead_exports(g)).alias("dead_exports"), n(g.exports).alias("exports"),
         n(c).alias("cycles"), F.coalesce(c.agg(F.sum("length")).scalar(), F.lit(0).cast("long")).alias("files_in_cycles"),
@@ -188,6 +194,7 @@ def project_summary(g: CodeGraph) -> DataFrame:
 
 def directory_summary(g: CodeGraph) -> DataFrame:
     """Per directory: files, exports, dead exports, average distinct fan-out and fan-in to two places."""
+    g = g.stored()
     directory = F.when(paths.parent(F.col("path")) == "", ".").otherwise(paths.parent(F.col("path")))
     count = lambda d, key, name, what="*": d.groupBy(F.col(key).alias("id")).agg((F.count("*") if what == "*" else F.countDistinct(what)).alias(name))
     files = g.nodes.select("id", directory.alias("directory"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import globs, paths
+from graphloom.shared import written
 
 NODES = "id BIGINT, path STRING, language STRING, is_entry_point BOOLEAN"
 EDGES = "src BIGINT, dst BIGINT, imported_names ARRAY<STRING>, is_type_only BOOLEAN, is_mod_declaration BOOLEAN, line BIGINT"
@@ -42,6 +43,10 @@ class CodeGraph:
     def empty(cls, spark) -> "CodeGraph":
         return cls(*(spark.createDataFrame([], s) for s in (NODES, EDGES, EXPORTS, UNRESOLVED)))
 
+    def stored(self) -> "CodeGraph":
+        """The same graph with its tables written to the shared folder: for plans that read them several times."""
+        return CodeGraph(written(self.nodes, "nodes"), written(self.edges, "graph-edges"), written(self.exports, "exports"), written(self.unresolved, "unresolved"))
+
     @property
     def known_edges(self) -> DataFrame:
         """Edges with both ends among the nodes."""

@@ -1,60 +1,68 @@
 """Recursion over edges: reachability, depths, fix-points and strongly connected components.
 
-A graph whose edges are few enough for one task's memory (checked by a count) is walked inside a single task, in one
-job. Beyond that bound a driver loop joins the frontier with the edges round by round; each round is written to the
-shared folder, so plans stay short and a lost executor costs a reread.
+The edges are written once; their number then comes from the files' footers. As many as fit one task's memory are
+walked inside a single task, in one job; beyond that bound a driver loop joins the frontier with the edges round by
+round. Each round is written to the shared folder, so plans stay short and a lost executor costs a reread. Both ways
+give the same rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.shared import drop_written, written
 
-#: Edges that one task walks in memory (about 200 bytes each).
+#: Edges that one task walks in memory (about 100 bytes each).
 SMALL = 1_000_000
+#: Rounds after which what was found so far becomes one table.
+COMPACT = 8
 
 
-def _is_small(edges: DataFrame, most: int) -> bool:
-    return edges.limit(most + 1).count() <= most
+def _columns(batches) -> list[np.ndarray]:
+    got = pa.Table.from_batches(list(batches))
+    return [c.combine_chunks() for c in got.columns]
 
 
-def _walk(adjacent: dict[int, list[int]], seeds: list[int], most: int | None) -> dict[int, int]:
-    depth = dict.fromkeys(seeds, 0)
-    queue = deque(seeds)
-    while queue:
-        u = queue.popleft()
-        if most is not None and depth[u] >= most:
-            continue
-        for v in adjacent.get(u, ()):
-            if v not in depth:
-                depth[v] = depth[u] + 1
-                queue.append(v)
-    return depth
+def _walk(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids reached and their depths, level by level over sorted edges."""
+    ids, at = np.unique(np.concatenate([src, dst, seeds]), return_inverse=True)
+    s, d, frontier = at[: len(src)], at[len(src) : 2 * len(src)], np.unique(at[2 * len(src) :])
+    order = np.argsort(s, kind="stable")
+    d, start = d[order], np.searchsorted(s[order], np.arange(len(ids) + 1))
+    depth, level = np.full(len(ids), -1, np.int32), 0
+    depth[frontier] = 0
+    while len(frontier) and (most is None or level < most):
+        level += 1
+        n = start[frontier + 1] - start[frontier]
+        pick = np.repeat(start[frontier] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        frontier = np.unique(d[pick])
+        frontier = frontier[depth[frontier] < 0]
+        depth[frontier] = level
+    return ids[depth >= 0], depth[depth >= 0]
 
 
 def depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, small: int = SMALL) -> DataFrame:
     """(id, depth): the fewest hops from any of ``seeds`` (id) over edges (src, dst); seeds have depth 0."""
-    edges, seeds = edges.select("src", "dst").where("src is not null and dst is not null"), seeds.select("id").where("id is not null").distinct()
-    if _is_small(edges, small) and _is_small(seeds, small):
-        both = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).unionByName(seeds.select(F.lit(None).cast("long").alias("src"), F.col("id").cast("long").alias("dst")))
+    edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null and src <> dst")
+    seeds = seeds.select(F.lit(None).cast("long").alias("src"), F.col("id").cast("long").alias("dst")).where("dst is not null").distinct()
+    both = written(edges.unionByName(seeds), "edges")
+    if both.count() <= small:
 
         def walk(batches):
-            adjacent, start = defaultdict(list), []
-            for b in batches:
-                for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    start.append(v) if u is None else adjacent[u].append(v)
-            got = _walk(adjacent, start, max_depth)
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int32())], names=["id", "depth"])
+            src, dst = _columns(batches)
+            is_seed, dst = np.asarray(src.is_null()), dst.to_numpy(zero_copy_only=False)
+            ids, depth = _walk(src.drop_null().to_numpy(), dst[~is_seed], dst[is_seed], max_depth)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(depth, pa.int32())], names=["id", "depth"])
 
         return both.coalesce(1).mapInArrow(walk, "id long, depth int")
-    pairs = written(edges.where("src <> dst").distinct(), "edges")
-    seen = written(seeds.withColumn("depth", F.lit(0)), "seen")
-    frontier, level = seen, 0
+    pairs = both.where("src is not null")
+    seen = written(both.where("src is null").select(F.col("dst").alias("id"), F.lit(0).alias("depth")), "seen")
+    frontier, level, parts = seen, 0, [seen]
     while max_depth is None or level < max_depth:
         level += 1
         step = pairs.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
@@ -62,8 +70,11 @@ def depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, sma
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier)
-        if level % 8 == 0:
+        parts.append(frontier)
+        if level % COMPACT == 0:
             seen = written(seen, "seen")
+            drop_written(*parts[:-1])
+            parts = [frontier, seen]
     return seen
 
 
@@ -108,27 +119,36 @@ def _tarjan(adjacent: dict[int, list[int]]) -> list[list[int]]:
     return out
 
 
-def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """(id, component): strongly connected components of two nodes or more, named by their smallest member."""
-    edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null and src <> dst")
-    if _is_small(edges, small):
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """``components`` of a written table (src, dst) by one walk."""
+
+    def tarjan(batches):
+        src, dst = (c.to_numpy() for c in _columns(batches))
+        for _ in range(20):  # most nodes of a code base are on no cycle
+            keep = np.isin(src, dst) & np.isin(dst, src)
+            if keep.all():
+                break
+            src, dst = src[keep], dst[keep]
+        adjacent = defaultdict(list)
+        for u, v in zip(src.tolist(), dst.tolist()):
+            adjacent[u].append(v)
+        rows = [(i, min(part)) for part in _tarjan(adjacent) if len(part) > 1 for i in part]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "component"])
 
-        def tarjan(batches):
-            adjacent = defaultdict(list)
-            for b in batches:
-                for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    adjacent[u].append(v)
-            rows = [(i, min(part)) for part in _tarjan(adjacent) if len(part) > 1 for i in part]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "component"])
+    return edges.coalesce(1).mapInArrow(tarjan, "id long, component long")
 
-        return edges.coalesce(1).mapInArrow(tarjan, "id long, component long")
-    return _colour(edges)
 
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, component): strongly connected components of two nodes or more, named by their smallest member."""
+    edges = written(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null and src <> dst"), "scc-edges")
+    return _in_one_task(edges) if edges.count() <= small else _colour(edges, small)
 
-def _colour(edges: DataFrame) -> DataFrame:
-    """Components by trimming and colouring: nodes without an edge in or out go; the largest id that reaches a node is its colour; the nodes that reach their colour's root within the colour are its component."""
+
+def _colour(edges: DataFrame, small: int) -> DataFrame:
+    """Components by trimming and colouring, until what is left fits one task: nodes without an edge in or out go; the largest id that reaches a node is its colour; the nodes that reach their colour's root within the colour are its component."""
     spark, found = edges.sparkSession, None
     rest = written(edges.distinct(), "scc-edges")
+    drop_written(edges)
     while True:
         while True:  # trim
             trimmed = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
@@ -136,9 +156,9 @@ def _colour(edges: DataFrame) -> DataFrame:
             before, after = rest.count(), trimmed.count()
             drop_written(rest)
             rest = trimmed
-            if before == after:
+            if before == after or after <= small:
                 break
-        if not after:
+        if after <= small:
             break
         colour = written(rest.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")), "scc-colour")
         while True:
@@ -157,22 +177,52 @@ def _colour(edges: DataFrame) -> DataFrame:
         rest_new = written(rest.join(done.select(F.col("id").alias("src")), "src", "left_anti").join(done.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges")
         drop_written(rest)
         rest = rest_new
+    left = _in_one_task(rest) if after else spark.createDataFrame([], "id long, component long")
     if found is None:
-        return spark.createDataFrame([], "id long, component long")
+        return left
     sized = found.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return found.join(sized, "root").select("id", "component")
+    return found.join(sized, "root").select("id", "component").unionByName(left)
+
 
+def fixpoint_names(used: DataFrame, rules: DataFrame, small: int = SMALL) -> DataFrame:
+    """Closes ``used`` (file_id, name) under ``rules`` (barrel, target, name): a used name of a barrel is used of the target if the rule's name is it or ``*``.
 
-def fixpoint_names(used: DataFrame, rules: DataFrame, rounds: int = 100) -> DataFrame:
-    """Closes ``used`` (file_id, name) under ``rules`` (barrel, target, name): a used name of a barrel is used of the target if the rule's name is it or ``*``."""
+    Only names of barrels can spread. Where these and the rules are few they are followed in one task, else by joins
+    until a round finds nothing new.
+    """
     seen = written(used.select("file_id", "name").distinct(), "used")
-    if not rules.take(1):
+    rules = written(rules.select("barrel", "target", F.col("name").alias("rule")).distinct(), "rules")
+    n = rules.count()
+    if not n:
         return seen
-    fresh = seen
-    for _ in range(rounds):
-        step = fresh.join(rules.select("barrel", "target", F.col("name").alias("rule")), F.col("file_id") == F.col("barrel")).where("rule = '*' or rule = name")
+    start = written(seen.join(rules.select(F.col("barrel").alias("file_id")).distinct(), "file_id", "left_semi"), "barrels")
+    if n + start.count() <= small:
+        both = rules.unionByName(start.select("file_id", F.lit(None).cast("long"), "name").toDF("barrel", "target", "rule"))
+
+        def spread(batches):
+            follow, todo = defaultdict(list), []
+            for barrel, target, name in zip(*(c.to_pylist() for c in _columns(batches))):
+                todo.append((barrel, name)) if target is None else follow[barrel].append((target, name))
+            new = set(todo)
+            while todo:
+                barrel, name = todo.pop()
+                for target, rule in follow.get(barrel, ()):
+                    if (rule == "*" or rule == name) and (target, name) not in new:
+                        new.add((target, name))
+                        todo.append((target, name))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.string())], names=["file_id", "name"])
+
+        return seen.unionByName(both.coalesce(1).mapInArrow(spread, "file_id long, name string")).distinct()
+    fresh, level, parts = start, 0, [seen]
+    while True:
+        level += 1
+        step = fresh.join(rules, F.col("file_id") == F.col("barrel")).where("rule = '*' or rule = name")
         fresh = written(step.select(F.col("target").alias("file_id"), "name").distinct().join(seen, ["file_id", "name"], "left_anti"), "used-new")
         if not fresh.take(1):
-            break
+            return seen
         seen = seen.unionByName(fresh)
-    return seen
+        parts.append(fresh)
+        if level % COMPACT == 0:
+            seen = written(seen, "used")
+            drop_written(*parts[:-1])
+            parts = [fresh, seen]

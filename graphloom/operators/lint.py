@@ -12,6 +12,7 @@ from graphloom.functions import globs, paths
 from graphloom.operators import analysis, iterate
 from graphloom.operators.graph import CodeGraph
 from graphloom.schema import SEVERITIES, rank
+from graphloom.shared import written
 
 COLUMNS = ["rule_id", "severity", "description", "source_file", "target_file", "imported_names", "line", "confidence", "rationale", "fix_direction"]
 
@@ -49,7 +50,7 @@ class Evaluation:
     def cycles(self) -> DataFrame:
         """All cycles, module declarations included; shared by all rules on cycles."""
         if self._cycles is None:
-            self._cycles = iterate.components(self.g.known_edges)
+            self._cycles = written(iterate.components(self.g.known_edges), "cycles")
         return self._cycles
 
     def run(self, rule: Rule) -> DataFrame:

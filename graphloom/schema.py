@@ -22,8 +22,8 @@ VISIBILITIES = ("public", "private", "protected")
 CONFIDENCES = ("low", "medium", "high", "certain")
 SEVERITIES = ("error", "warning", "info")
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python", "rs": "rust", "java": "java"}
-#: Symbol and reference ids are file_id * STRIDE + 1 + n.
-STRIDE = 100_000
+#: Row ids are file_id * STRIDE + 1 + n: room for 2 ** 32 rows of each kind in a file (which itself is under 2 GB) and for 2 ** 31 files.
+STRIDE = 1 << 32
 
 
 def schema(table: str) -> T.StructType:
