@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import json
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +63,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 #: What a text line shows of each result array.
-TEXT = {"imports": "{path} ({depth})", "imported_by": "{path} ({depth})", "edges": "{src_path} -> {dst_path}: {imported_names}", "exports": "{exported_name} used={is_used}", "dead_files": "{path} [{confidence}]", "dead_exports": "{path}: {exported_name} [{confidence}]", "dead_symbols": "{name} ({kind})", "cycles": "{length}: {files}", "affected": "{path} ({depth})", "directories": "{directory}: {files} files", "violations": "{severity} {rule_id}: {source_file}:{line} -> {target_file}", "changes": "{change} {path}: {exported_name}", "symbols": "{file}:{line} {kind} {name}", "references": "{file}:{line} {source} -> {target} ({kind})", "callers": "{file}:{line} {source} -> {target}"}
+TEXT = {"imports": "{path} ({depth})", "imported_by": "{path} ({depth})", "edges": "{src_path} -> {dst_path}: {imported_names}", "exports": "{exported_name} used={is_used}", "dead_files": "{path} [{confidence}]", "dead_exports": "{path}: {exported_name} [{confidence}]", "dead_symbols": "{name} ({kind})", "cycles": "{length}: {files}", "affected": "{path} ({depth})", "directories": "{directory}: {files} files", "violations": "{severity} {rule_id}: {source_file}:{line} -> {target_file}", "changes": "{change} {path}: {exported_name}", "by_depth": "depth {depth}: {n} files", "limitations": "{description}", "symbols": "{file}:{line} {kind} {name}", "references": "{file}:{line} {source} -> {target} ({kind})", "callers": "{file}:{line} {source} -> {target}"}
 
 
 def run(spark, a: argparse.Namespace) -> tuple[dict[str, DataFrame], dict]:
@@ -112,7 +112,8 @@ def _graph_command(a: argparse.Namespace, g: CodeGraph, tables: dict[str, DataFr
             out["imports"] = analysis.deps(g, f, False, a.transitive, a.max_depth)
         if a.direction != "out":
             out["imported_by"] = analysis.deps(g, f, True, a.transitive, a.max_depth)
-        return out, {}
+        none = g.nodes.where("false")
+        return out, analysis.deps_summary(g, f, out.get("imports", none), out.get("imported_by", none), a.transitive).first().asDict()
     if a.command == "exports":
         usage = analysis.export_usage(g, _file(g, a.path))
         return {"exports": usage}, analysis.export_usage_summary(usage).first().asDict()
@@ -124,13 +125,15 @@ def _graph_command(a: argparse.Namespace, g: CodeGraph, tables: dict[str, DataFr
             out["dead_files"] = analysis.dead_files(g)
         if a.scope != "files":
             out["dead_exports"] = analysis.dead_exports(g)
-        return out, {"confidence": analysis.overall_confidence(g).first()[0]}
+        none = g.nodes.where("false")
+        summary = analysis.dead_code_summary(g, out.get("dead_files", none), out.get("dead_exports", none)).first().asDict()
+        return out | {"limitations": analysis.limitations(g)}, summary | {"confidence": analysis.overall_confidence(g).first()[0]}
     if a.command == "cycles":
         found = analysis.cycles(g)
         return {"cycles": found.orderBy("length", F.element_at("files", 1))}, analysis.cycle_summary(g, found).first().asDict()
     if a.command == "impact":
         found = analysis.impact(g, _file(g, a.path), a.max_depth)
-        return {"affected": found}, analysis.impact_summary(found).first().asDict()
+        return {"affected": found, "by_depth": analysis.impact_by_depth(found)}, analysis.impact_summary(found).first().asDict()
     if a.command == "summary":
         rows = {"directories": analysis.directory_summary(g)} if a.by_directory else {}
         return rows, analysis.project_summary(g).first().asDict() | {"by_language": {r["language"]: r["files"] for r in analysis.by_language(g).collect()}}
@@ -138,17 +141,19 @@ def _graph_command(a: argparse.Namespace, g: CodeGraph, tables: dict[str, DataFr
     if at is None:
         raise SystemExit("no rules found")
     found = lint.evaluate(configs.parse_rules(at.read_text()), g, "", a.rule, a.severity_threshold)
-    base = Path(a.root, ".graphloom/baseline.json")
+    base = f"{a.root.rstrip('/')}/.graphloom/baseline.json"
     if a.freeze:
-        return {}, {"frozen": configs.write_baseline(found, str(base))}
-    known = configs.read_baseline(g.nodes.sparkSession, str(base))
+        return {}, {"frozen": configs.write_baseline(found, base)}
+    known = configs.read_baseline(g.nodes.sparkSession, base)
     found = lint.suppress(found, known) if known is not None else found
     return {"violations": lint.ordered(found)}, lint.summary(found).first().asDict()
 
 
 def emit(arrays: dict[str, DataFrame], summary: dict, a: argparse.Namespace, out=sys.stdout) -> int:
     """Writes a result; returns the exit status."""
-    arrays = {n: paths.enrich(d, ["path", "file", "source_file", "target_file"]) if a.format != "text" else d for n, d in arrays.items()}
+    if a.count or a.jq or a.format == "csv":  # these are about the rows alone
+        arrays = {n: d for n, d in arrays.items() if n not in ("by_depth", "limitations")}
+    arrays = {n: post.in_order(n, paths.enrich(d, ["path", "file", "source_file", "target_file"]) if a.format != "text" else d) for n, d in arrays.items()}
     if a.count:
         n = post.count_of(arrays).first()[0] if arrays else summary.get("files_indexed", summary.get("files", 0))
         print(n, file=out)
@@ -166,8 +171,11 @@ def emit(arrays: dict[str, DataFrame], summary: dict, a: argparse.Namespace, out
         return 0
     if a.format == "csv":
         if arrays:
-            rows = post.csv_rows(arrays).toPandas()
-            out.write(rows.to_csv(index=False) if len(rows) else "")
+            rows, lines = post.csv_rows(arrays), csv.writer(out, lineterminator="\n")
+            for k, r in enumerate(rows.toLocalIterator()):
+                if not k:
+                    lines.writerow(rows.columns)
+                lines.writerow(["" if x is None else x for x in r])
         return 0
     if a.format in ("json", "compact"):
         doc = {n: [json.loads(r[0]) for r in post.json_rows(d).toLocalIterator()] for n, d in arrays.items()} | {"summary": summary}

@@ -25,8 +25,23 @@ def count_of(arrays: dict[str, DataFrame]) -> DataFrame:
 
 
 def iso_utc(seconds: Column) -> Column:
-    """Seconds since 1970 as an ISO-8601 time in UTC (the session's zone must be UTC)."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Seconds since 1970 as an ISO-8601 time in UTC, whatever the session's zone."""
+    day = F.floor(seconds / 86400)
+    rest = (seconds - day * 86400).cast("int")
+    date = F.date_from_unix_date(day.cast("int")).cast("string")
+    return F.format_string("%sT%02d:%02d:%02dZ", date, (rest / 3600).cast("int"), (rest % 3600 / 60).cast("int"), rest % 60)
+
+
+#: The order in which a command lists the rows of each result array.
+ORDER = {
+    "imports": ("depth", "path"), "imported_by": ("depth", "path"), "edges": ("src_path", "dst_path"), "dead_files": ("path",), "dead_exports": ("path", "exported_name"), "dead_symbols": ("file_id", "name"),
+    "affected": ("depth", "path"), "by_depth": ("depth",), "directories": ("directory",), "changes": ("path", "change", "exported_name"), "limitations": ("description",),
+}
+
+
+def in_order(name: str, df: DataFrame) -> DataFrame:
+    """A result array in its usual order."""
+    return df.orderBy(*ORDER[name]) if name in ORDER else df
 
 
 def _cell(f: T.StructField) -> Column:

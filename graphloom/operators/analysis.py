@@ -162,6 +162,14 @@ def dead_code_summary(g: CodeGraph, files: DataFrame, exports: DataFrame) -> Dat
     )
 
 
+def limitations(g: CodeGraph) -> DataFrame:
+    """(description, count) of what makes dead code uncertain: unresolved imports and the files that have any; no row where there are none."""
+    of = g.unresolved.agg(F.count("*").alias("u"), F.countDistinct("file_id").alias("f"))
+    text = lambda n, what: F.struct(F.concat(F.col(n).cast("string"), F.lit(what)).alias("description"), F.col(n).alias("count"))
+    both = of.select(F.explode(F.array(text("u", " imports could not be resolved"), text("f", " files have unresolvable imports"))).alias("x"))
+    return both.select("x.*").where("count > 0")
+
+
 # ------------------------------------------------------------------ cycles
 
 def cycles(g: CodeGraph) -> DataFrame:

@@ -23,9 +23,10 @@ SMALL = 1_000_000
 COMPACT = 8
 
 
-def _columns(batches) -> list[np.ndarray]:
-    got = pa.Table.from_batches(list(batches))
-    return [c.combine_chunks() for c in got.columns]
+def _columns(batches, *kinds: pa.DataType) -> list[pa.Array]:
+    """The columns of all batches of a task, which may have none."""
+    got = list(batches)
+    return [pa.chunked_array([b.column(i) for b in got], k).combine_chunks() for i, k in enumerate(kinds)]
 
 
 def _walk(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +55,7 @@ def depths(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, sma
     if both.count() <= small:
 
         def walk(batches):
-            src, dst = _columns(batches)
+            src, dst = _columns(batches, pa.int64(), pa.int64())
             is_seed, dst = np.asarray(src.is_null()), dst.to_numpy(zero_copy_only=False)
             ids, depth = _walk(src.drop_null().to_numpy(), dst[~is_seed], dst[is_seed], max_depth)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(depth, pa.int32())], names=["id", "depth"])
@@ -123,7 +124,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     """``components`` of a written table (src, dst) by one walk."""
 
     def tarjan(batches):
-        src, dst = (c.to_numpy() for c in _columns(batches))
+        src, dst = (c.to_numpy() for c in _columns(batches, pa.int64(), pa.int64()))
         for _ in range(20):  # most nodes of a code base are on no cycle
             keep = np.isin(src, dst) & np.isin(dst, src)
             if keep.all():
@@ -201,7 +202,7 @@ def fixpoint_names(used: DataFrame, rules: DataFrame, small: int = SMALL) -> Dat
 
         def spread(batches):
             follow, todo = defaultdict(list), []
-            for barrel, target, name in zip(*(c.to_pylist() for c in _columns(batches))):
+            for barrel, target, name in zip(*(c.to_pylist() for c in _columns(batches, pa.int64(), pa.int64(), pa.string()))):
                 todo.append((barrel, name)) if target is None else follow[barrel].append((target, name))
             new = set(todo)
             while todo:

@@ -621,6 +621,239 @@ def snk4_cascade_delete(spark, d):
     return store.without_files({"symbols": virtual.symbols(spark, d)}, gone)["symbols"].select("id", "file_id", "name")
 
 
+# ------------------------------------------------------------------ the store, settings and output
+
+def _stored(spark, d):
+    """The virtual code base's files, symbols, references and exports as stored tables."""
+    from graphloom.schema import DDL, schema
+
+    f = virtual.nodes(spark, d).select("id", "path", F.lit(1).alias("mtime"), "language")
+    s = virtual.symbols(spark, d)
+    r = virtual.symbol_graph(spark, d).refs
+    r = r.select(F.xxhash64("source_id", "target_id", "kind").alias("id"), "source_id", "target_id", "kind", F.floor(F.col("source_id") / 8).alias("file_id"))
+    i = virtual.edge_rows(spark, d)
+    i = i.select(F.xxhash64(*i.columns).alias("id"), F.col("src").alias("file_id"), F.concat(F.lit("#"), F.col("dst").cast("string")).alias("source_path"), F.col("name").alias("imported_name"), "is_type_only")
+    e = virtual.export_rows(spark, d).withColumn("id", F.xxhash64("file_id", "exported_name"))
+    full = lambda t, df: df.select(*(F.col(x.name).cast(x.dataType).alias(x.name) if x.name in df.columns else F.lit(None).cast(x.dataType).alias(x.name) for x in schema(t)))
+    return {t: full(t, df) for t, df in zip(DDL, (f, s, r, i, e))}
+
+
+def _store(spark, *versions):
+    """A store in the shared folder with these versions written one after the other."""
+    from graphloom.shared import new_path
+    from graphloom.sources import store
+
+    s = store.Store(spark, new_path(spark, "store"))
+    for v in versions:
+        s.write(v)
+    return s
+
+
+def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_SIZES = "select unnest(['files', 'symbols', 'refs', 'imports', 'exports']) as name, unnest([(select count(*) from nodes), (select count(*) from symbols), (select count(*) from symbol_refs), (select count(*) from edges_rows), (select count(*) from exports)]) as n"
+
+
+@query(_SIZES)
+def src7_src8_snk6_store_round_trip(spark, d):
+    """All five tables written as a version and read back; of the version before nothing shows."""
+    t = _stored(spark, d)
+    return _sizes(_store(spark, {**t, "exports": t["exports"].where("false")}, t).read())
+
+
+@query(_SIZES.replace("from symbols)", "from symbols where file_id in (select id from nodes where not entry))").replace("from symbol_refs)", "from symbol_refs where source_id // 8 in (select id from nodes where not entry) and target_id // 8 in (select id from nodes where not entry))").replace("from edges_rows)", "from edges_rows where src in (select id from nodes where not entry))").replace("from exports)", "from exports where file_id in (select id from nodes where not entry))"))
+def snk5_clear_file_rows(spark, d):
+    """Entry points lose all rows but their own in files."""
+    from graphloom.sources import store
+
+    t = _stored(spark, d)
+    cleared = store.without_files({k: v for k, v in t.items() if k != "files"}, t["files"].where("id % 10 = 1").select(F.col("id").alias("file_id")))
+    return _sizes({"files": t["files"], **cleared})
+
+
+@query("select id, case when kind = 'class' then 'renamed' else name end as name from symbols")
+def snk2_replace_symbols(spark, d):
+    from graphloom.sources import store
+
+    s = _stored(spark, d)["symbols"]
+    return store.upsert(s, s.where("kind = 'class'").withColumn("name", F.lit("renamed")), ["id"]).select("id", "name")
+
+
+@query("select file_id, count(*) as n from (select src as file_id from edges_rows union all select file_id from exports) group by 1")
+def snk3_append_imports_and_exports(spark, d):
+    """Two appended tables of a store, counted by file."""
+    s = _store(spark, _stored(spark, d)).read()
+    return s["imports"].select("file_id").unionByName(s["exports"].select("file_id")).groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@query("select (select count(*) from nodes where path not like 'src/ASIA/%' and entry) + (select count(*) from nodes where path like 'src/EUROPE/%' and not entry) as files_indexed, (select count(*) from nodes where path not like 'src/ASIA/%' and path not like 'src/EUROPE/%' and not entry) as files_unchanged, (select count(*) from nodes where path like 'src/ASIA/%') as files_deleted, (select count(*) from nodes where path not like 'src/ASIA/%' and entry) + (select count(*) from nodes where path like 'src/EUROPE/%' and not entry) as symbols, 0::bigint as errors")
+def snk7_snk9_incremental_index(spark, d):
+    """A second scan of a store: files of one region are gone, another's are new, entry points have changed; each has one function."""
+    from graphloom.sources import index, store
+
+    n = virtual.nodes(spark, d)
+    text = F.when(F.col("language") == "rust", "fn a() {}").when(F.col("language") == "java", "class A {}").otherwise("function a() {}").alias("content")
+    before = n.where("path not like 'src/EUROPE/%'").select("path", F.lit(5).cast("long").alias("mtime"), "language", text)
+    empty = {t: spark.createDataFrame([], s) for t, s in store.DDL.items()}
+    tables, _ = index.refresh(empty, before)
+    s = _store(spark, tables)
+    after = n.where("path not like 'src/ASIA/%'").select("path", F.when(F.col("is_entry_point"), 9).otherwise(5).cast("long").alias("mtime"), "language", text)
+    _, summary = index.refresh(s.read(), after)
+    return summary.select("files_indexed", "files_unchanged", "files_deleted", "symbols", "errors")
+
+
+@query(_SNAP + " select path, exported_name, change from changes")
+def src17_second_snapshot_from_a_store(spark, d):
+    """Two stores compared: the one before opened beside the one after."""
+    from graphloom.sources import index
+
+    sides = []
+    for after in (False, True):
+        t = _stored(spark, d)
+        snap = virtual.snapshot(spark, d, after)
+        files = t["files"].join(snap.select("path").distinct(), "path", "left_semi").select(*t["files"].columns)
+        own = files.select(F.col("id").alias("file_id"), "path").join(snap.where("exported_name is not null"), "path")
+        rows = own.select(*(F.col(c) if c in ("file_id", "exported_name") else F.lit(None).cast(t["exports"].schema[c].dataType).alias(c) for c in t["exports"].columns))
+        sides.append(index.snapshot(_store(spark, {**t, "files": files, "exports": rows}).read()))
+    return analysis.diff_exports(*sides)
+
+
+@query(_V + " select rule_id, source_file, target_file, line from v where rule_id <> 'weight'")
+def src16_snk10_baseline_file(spark, d):
+    """Violations of one rule are frozen into a baseline file, which is read back and subtracted."""
+    from graphloom.shared import new_path
+    from graphloom.sources import configs
+
+    found = lint.evaluate(_config(), _g(spark, d).stored())
+    at = new_path(spark, "baseline") + ".json"
+    configs.write_baseline(found.where("rule_id = 'weight'"), at)
+    return lint.suppress(found, configs.read_baseline(spark, at)).select("rule_id", "source_file", "target_file", "line")
+
+
+@query(_V + " select rule_id, source_file, target_file, line from v where rule_id = 'exports'")
+def prd8_src12_one_rule_of_a_file(spark, d):
+    """Rules read from TOML, one of them asked for."""
+    from graphloom.sources import configs
+
+    rules = configs.parse_rules("""
+[[rules]]
+id = "asia-europe"
+severity = "error"
+description = "ASIA must not import EUROPE"
+[rules.boundary]
+from = ["src/ASIA/**"]
+deny = ["src/EUROPE/**"]
+[[rules]]
+id = "exports"
+severity = "warning"
+description = "too many exports"
+[rules.export_limit]
+pattern = ["**"]
+max_exports = 5
+""")
+    return lint.evaluate(rules, _g(spark, d), only="exports").select("rule_id", "source_file", "target_file", "line")
+
+
+@query("select path, regexp_matches(stem, '^(index|main|app|server|cli)$') or (language = 'java' and regexp_matches(stem, '^Test|(Test|Tests|IT|Application)$')) or (language = 'rust' and stem in ('lib', 'build')) or regexp_matches(path, '^src/ASIA/.*7\\.ts$') or id in (select file_id from unresolved where import_path = 'pkg7') as is_entry_point from nodes")
+def src13_entry_points_from_settings(spark, d):
+    """Patterns and annotations of a settings file."""
+    from graphloom.sources import configs
+
+    patterns, annotations = configs.entry_points('rules = []\n[entry_points]\npatterns = ["src/ASIA/**/*7.ts"]\nannotations = ["pkg7"]')
+    imports = virtual.unresolved_rows(spark, d).select("file_id", F.concat(F.lit("@annotation:"), "import_path").alias("source_path"))
+    marked = graph.mark_entry_points(virtual.nodes(spark, d).drop("is_entry_point"), graph.entry_points_by_annotation(imports, annotations), patterns)
+    return marked.select("path", "is_entry_point")
+
+
+@query(", c as (select component, count(*) n, min(path) as p from scc2 join nodes using (id) group by component) select 'long' as rule_id, p as source_file from c where n > 2 union all select 'any', p from c")
+def lnt14_cycles_shared_by_rules(spark, d):
+    """Two rules on cycles; the components are computed once and written."""
+    rules = [lint.Rule(n, "info", "", "cycle_policy", {"max_cycle_length": k}) for n, k in (("long", 2), ("any", 0))]
+    return lint.evaluate(lint.LintConfig(rules), _g(spark, d)).select("rule_id", "source_file")
+
+
+@query(_DEPTH.format(s=1001, a="src", b="dst", m=4, more="").replace("select l.id, n.path, l.depth from", "select (select count(distinct dst) from edges where src = 1001) as direct_imports, (select count(distinct src) from edges where dst = 1001) as direct_imported_by, count(*) as transitive_imports, 0::bigint as transitive_imported_by from"))
+def agg14_deps_summary(spark, d):
+    g = _g(spark, d)
+    far = analysis.deps(g, 1001, transitive=True, max_depth=4)
+    return analysis.deps_summary(g, 1001, far, far.where("false"), True)
+
+
+@query("select unnest([(select count(*) from unresolved) || ' imports could not be resolved', (select count(distinct file_id) from unresolved) || ' files have unresolvable imports']) as description, unnest([(select count(*) from unresolved), (select count(distinct file_id) from unresolved)]) as count")
+def agg15_limitations(spark, d):
+    return analysis.limitations(_g(spark, d))
+
+
+@query("select row_number() over (order by path, exported_name) as place, path, exported_name from dead_exports")
+def srt1_dead_exports_in_order(spark, d):
+    """The order that the command lists them in, as numbers."""
+    rows = post.in_order("dead_exports", analysis.dead_exports(_g(spark, d)).select("path", "exported_name"))
+    return _numbered(rows)
+
+
+@query(_DEPTH.format(s=1001, a="dst", b="src", m=3, more="").replace("select l.id, n.path, l.depth", "select row_number() over (order by l.depth, n.path) as place, n.path, l.depth"))
+def srt2_affected_in_order(spark, d):
+    return _numbered(post.in_order("affected", analysis.impact(_g(spark, d), 1001, 3).select("path", "depth")))
+
+
+@query(_SNAP + " select row_number() over (order by path, change, exported_name) as place, path, exported_name, change from changes")
+def srt5_changes_in_order(spark, d):
+    return _numbered(post.in_order("changes", analysis.diff_exports(virtual.snapshot(spark, d, False), virtual.snapshot(spark, d, True))))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows of a sorted frame with their places: the sort's ranges are counted, then numbers within them shifted."""
+    from graphloom.shared import written
+
+    own = written(rows.withColumn("_m", F.monotonically_increasing_id()), "in-order").withColumn("_b", F.shiftright("_m", 33))
+    sizes = own.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._b") < F.col("a._b"), "left").groupBy(F.col("a._b").alias("_b")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))  # a row per range
+    return own.join(F.broadcast(before), "_b").select((F.col("_m").bitwiseAND((1 << 33) - 1) + 1 + F.col("_before")).alias("place"), *rows.columns)
+
+
+@query("select '{\"id\":' || id || ',\"path\":\"' || path || '\",\"tags\":null}' as json from nodes")
+def fn9_json_rows(spark, d):
+    return post.json_rows(virtual.nodes(spark, d).select("id", "path", F.lit(None).cast("string").alias("tags")))
+
+
+@query("select t || ' <- ' || s || ' [' || array_to_string(names, ';') || ']' as line from ends")
+def fn10_text_rows(spark, d):
+    rows = analysis.edge_paths(_g(spark, d)).select("src_path", "dst_path", "imported_names")
+    return post.text_rows(rows, "{dst_path} <- {src_path} [{imported_names}]")
+
+
+@query("select dir as path, stem as name from nodes where language <> 'java'")
+def fn11_jq_map_and_or(spark, d):
+    rows = virtual.nodes(spark, d).select(paths.parent(F.col("path")).alias("dir"), paths.stem(F.col("path")).alias("stem"), "language")
+    return post.jq(rows, '.[] | select(.language == "rust" or .language == "typescript") | {path: .dir, name: .stem}')
+
+
+@query("select target_id as id from symbol_refs where source_id = (select min(source_id) from symbol_refs)")
+def alg11_callees(spark, d):
+    s = virtual.symbol_graph(spark, d)
+    return s.callees(s.refs.agg(F.min("source_id")).first()[0])
+
+
+@query("select distinct src as id from edges where dst = 1")
+def grf10_direct_importers(spark, d):
+    return _g(spark, d).importers_of(1)
+
+
+@query("select (select count(*) from symbols where file_id in (select id from nodes where language = 'java')) as symbols, (select count(*) from symbol_refs where source_id // 8 in (select id from nodes where language = 'java') and target_id // 8 in (select id from nodes where language = 'java')) as refs")
+def grf11_merged_symbol_graphs(spark, d):
+    """The graph of one language's files, merged with an empty one."""
+    s = virtual.symbol_graph(spark, d)
+    own = s.symbols.join(virtual.nodes(spark, d).where("language = 'java'").select(F.col("id").alias("file_id")), "file_id", "left_semi").select(*s.symbols.columns)
+    part = graph.SymbolGraph.build(own, s.refs).merged(own.where("false"), s.refs.where("false"))
+    return part.symbols.agg(F.count("*").alias("symbols")).select("symbols", part.refs.agg(F.count("*")).scalar().alias("refs"))
+
+
 # ------------------------------------------------------------------ extraction and resolution, over the virtual code base written out as text
 
 def _extracted(spark, d, language: str) -> dict[str, DataFrame]:

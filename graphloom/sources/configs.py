@@ -82,18 +82,34 @@ def cargo(text: str | None) -> Cargo | None:
         return None
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system, whichever kind that is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path if "://" in path or path.startswith("file:") else "file://" + str(Path(path).resolve()))
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
-    """Known violations, or None without the file."""
-    if not Path(path.removeprefix("file://")).is_file():
+    """Known violations, or None without the file, which may be on any file system that the session reads."""
+    p, fs = _at(spark, path)
+    if not fs.exists(p):
         return None
     schema = f"version INT, created STRING, violations ARRAY<STRUCT<{BASELINE.replace(' STRING', ': STRING').replace(' BIGINT', ': BIGINT')}>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("violations").alias("v")).select("v.*")
+    return spark.read.schema(schema).json(p.toString(), multiLine=True).select(F.explode("violations").alias("v")).select("v.*")
 
 
 def write_baseline(violations: DataFrame, path: str) -> int:
-    """Freezes violations as one JSON file; their number is what a person is shown, so it is collected."""
-    rows = violations.select("rule_id", "source_file", "target_file", "line").distinct().orderBy("rule_id", "source_file", "target_file", "line").collect()
-    now = violations.sparkSession.sql("select date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")").first()[0]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps({"version": 1, "created": now, "violations": [r.asDict() for r in rows]}, indent=2) + "\n")
-    return len(rows)
+    """Freezes violations as one JSON file; returns their number. Rows are streamed through the driver a partition at a time, as the file is a single one."""
+    spark = violations.sparkSession
+    rows = violations.select("rule_id", "source_file", "target_file", "line").distinct().orderBy("rule_id", "source_file", "target_file", "line")
+    now = spark.sql("select date_format(to_utc_timestamp(current_timestamp(), current_timezone()), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")").first()[0]
+    p, fs = _at(spark, path)
+    out, n = fs.create(p, True), 0
+    put = lambda text: out.write(bytearray(text.encode()))
+    put(f'{{\n  "version": 1,\n  "created": {json.dumps(now)},\n  "violations": [')
+    for r in rows.toLocalIterator():
+        body = json.dumps(r.asDict(), indent=2).replace("\n", "\n    ")
+        put(("," if n else "") + "\n    " + body)
+        n += 1
+    put(("\n  " if n else "") + "]\n}\n")
+    out.close()
+    return n

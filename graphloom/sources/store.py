@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.schema import DDL, schema
+from graphloom.shared import written
 
 #: Tables with a file's rows.
 OWNED = ("symbols", "refs", "imports", "exports")
@@ -34,7 +35,7 @@ def classify(existing: DataFrame, found: DataFrame, first_id: int | None = None)
     """(id, path, mtime, state, ...) by a full outer join on path of ``existing`` (id, path, mtime) and ``found`` (path, mtime, ...).
 
     unchanged: stored no earlier than found; changed keeps its id; deleted: found no more; new gets ids from ``first_id``
-    (by default the largest one plus 1) in the order of paths. New files are numbered per range of the path's first characters
+    (by default the largest one plus 1) in the order of paths. New files are numbered within ranges of a distributed sort
     and shifted by the ranges' counts, not in one task.
     """
     e = existing.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("mtime").alias("_old"))
@@ -43,14 +44,12 @@ def classify(existing: DataFrame, found: DataFrame, first_id: int | None = None)
     both = both.withColumn("state", state).withColumn("path", F.coalesce("path", "_path")).withColumn("mtime", F.coalesce("mtime", "_old"))
     known = both.where("state <> 'new'").withColumn("id", F.col("_id"))
     fresh = both.where("state = 'new'")
-    bounds = fresh.select("path").distinct().agg(F.array_sort(F.collect_set(F.substring("path", 1, 6))).alias("b")).select(F.slice("b", 1, 4096).alias("_bounds"))
-    fresh = fresh.crossJoin(F.broadcast(bounds))  # one row
-    block = F.aggregate("_bounds", F.lit(0), lambda n, b: n + F.when(F.col("path") >= b, 1).otherwise(0))
-    fresh = fresh.withColumn("_block", block).drop("_bounds")
-    inside = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("_block").orderBy("path")))
-    before = fresh.groupBy("_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per block
+    # a sort by ranges; then a row's number is its place in its range plus the ranges' sizes before
+    fresh = written(fresh.orderBy("path").withColumn("_m", F.monotonically_increasing_id()), "new-files")
+    fresh = fresh.withColumn("_block", F.shiftright("_m", 33)).withColumn("_k", F.col("_m").bitwiseAND((1 << 33) - 1) + 1).drop("_m")
+    before = fresh.groupBy("_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per range, as many as shuffle partitions
     start = F.lit(first_id) if first_id is not None else F.coalesce(existing.agg(F.max("id")).scalar(), F.lit(0)) + 1
-    fresh = inside.join(F.broadcast(before), "_block").withColumn("id", start + F.col("_k") + F.col("_before") - 1).drop("_block", "_k", "_before")
+    fresh = fresh.join(F.broadcast(before), "_block").withColumn("id", start + F.col("_k") + F.col("_before") - 1).drop("_block", "_k", "_before")
     return known.unionByName(fresh.select(*known.columns)).drop("_id", "_path", "_old")
 
 
@@ -77,7 +76,7 @@ class Store:
         return {t: self.spark.read.schema(schema(t)).parquet(f"{self.path}/{v}/{t}") for t in DDL}
 
     def write(self, tables: dict[str, DataFrame]) -> None:
-        """A new version of all five tables; the old one is deleted once the pointer is switched."""
+        """A new version of all five tables. The pointer is replaced by one rename; the version before stays for readers that hold it, older ones go."""
         old, v = self.current(), f"v-{uuid.uuid4().hex}"
         for t in DDL:
             df = tables[t].select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(t)))
@@ -86,7 +85,11 @@ class Store:
         out = self._fs.create(tmp, True)
         out.write(bytearray(v.encode()))
         out.close()
-        self._fs.delete(at, False)
-        self._fs.rename(tmp, at)
-        if old:
-            self._fs.delete(self._path(f"{self.path}/{old}"), True)
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        how = sc._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(tmp), self._fs.makeQualified(at), how)
+        for x in self._fs.listStatus(self._path(self.path)):
+            if x.getPath().getName().startswith("v-") and x.getPath().getName() not in (v, old):
+                self._fs.delete(x.getPath(), True)

@@ -83,7 +83,7 @@ def cycles(spark, edges, small=iterate.SMALL):
     return out
 
 
-@pytest.mark.parametrize("small", [0, 1000])
+@pytest.mark.parametrize("small", [0, 4, 1000])
 def test_cycles(spark, small):
     assert cycles(spark, [(1, 2), (2, 3)], small) == {}
     assert cycles(spark, [(1, 1)], small) == {}
@@ -247,3 +247,28 @@ max_names = 0
     for bad in ('x = 1', '[[rules]]\nid="a"\nseverity="error"\ndescription=""', '[[rules]]\nid="a"\nseverity="bad"\ndescription=""\n[rules.cycle_policy]'):
         with pytest.raises(ValueError):
             configs.parse_rules(bad)
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_names_spread_alike(spark, small):
+    used = spark.createDataFrame([(1, "a"), (1, "b"), (5, "z")], "file_id long, name string")
+    rules = spark.createDataFrame([(1, 2, "a"), (2, 3, "*"), (3, 2, "*"), (3, 4, "b")], "barrel long, target long, name string")
+    want = {(1, "a"), (1, "b"), (5, "z"), (2, "a"), (3, "a")}
+    assert {tuple(r) for r in iterate.fixpoint_names(used, rules, small).collect()} == want
+    assert {tuple(r) for r in iterate.fixpoint_names(used, rules.where("false"), small).collect()} == {(1, "a"), (1, "b"), (5, "z")}
+
+
+def test_limitations(spark):
+    g = make(spark, CHAIN, [], (), [(3, "lib"), (3, "lib2")])
+    assert {tuple(r) for r in analysis.limitations(g).collect()} == {("2 imports could not be resolved", 2), ("1 files have unresolvable imports", 1)}
+    assert analysis.limitations(make(spark, CHAIN)).count() == 0
+
+
+def test_times_in_utc_whatever_the_zone(spark):
+    from graphloom.functions import post
+
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = spark.createDataFrame([(0,), (1700000001,), (-1,)], "s long").select(post.iso_utc(F.col("s"))).collect()
+        assert [r[0] for r in got] == ["1970-01-01T00:00:00Z", "2023-11-14T22:13:21Z", "1969-12-31T23:59:59Z"]
+    spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import cli
 from graphloom.functions import globs, paths, post
 from graphloom.operators import analysis, resolve
-from graphloom.schema import DDL, schema
+from graphloom.schema import STRIDE, DDL, schema
 from graphloom.sources import configs, extract, index, scan, store
 from graphloom.streaming import watch
 
@@ -157,7 +157,7 @@ def test_extract_tables(spark):
     assert {r["file_id"]: r["error"] for r in parsed.collect()} == {1: None, 2: "no parser for language python", 3: None}
     t = extract.tables(parsed)
     ids = {r["name"]: r["id"] for r in t["symbols"].collect()}
-    assert ids["a"] == 100_001
+    assert ids["a"] == STRIDE + 1
     assert [(r["source_id"], r["target_id"]) for r in t["refs"].collect()] == [(ids["a"], ids["b"])]  # "twice" isn't unique
     for n in ("symbols", "refs", "imports", "exports"):
         assert t[n].columns == schema(n).names
@@ -385,3 +385,27 @@ def test_cascades(spark):
     refs = spark.createDataFrame([(1, 1, 2, 10), (2, 2, 2, 20)], "id long, source_id long, target_id long, file_id long")
     out = store.without_files({"symbols": sym, "refs": refs}, spark.createDataFrame([(20,)], "file_id long"))
     assert out["symbols"].count() == 1 and out["refs"].count() == 0
+
+
+def test_overrides_come_before_ignore_files(spark, tmp_path):
+    for name in ("a.ts", "gen/b.ts", "target/c.ts", "lib/d.ts", "lib/e.ts", "lib/notes.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("gen/\n!target/\n")
+    (tmp_path / ".ignore").write_text("d.ts\n")
+    found = lambda **k: sorted(r["path"] for r in scan.discover(spark, str(tmp_path), **k).collect())
+    assert found() == ["a.ts", "lib/e.ts"]
+    assert found(include=["gen/**"]) == ["gen/b.ts"]
+    assert found(include=["target/**"], exclude=["lib/"]) == ["target/c.ts"]
+    assert found(include=["**/*.ts"], exclude=["lib/**"]) == ["a.ts", "gen/b.ts", "lib/d.ts", "lib/e.ts", "target/c.ts"]
+    assert found(exclude=["a.ts"]) == ["lib/e.ts"]
+
+
+def test_ignore_files_of_folders_above(spark, tmp_path):
+    inner = tmp_path / "pkg/app"
+    (inner / "gen").mkdir(parents=True)
+    (tmp_path / ".git").mkdir()
+    for name in ("a.ts", "b.ts", "gen/c.ts"):
+        (inner / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("b.ts\n/pkg/app/gen/\n/other/a.ts\n")
+    assert sorted(r["path"] for r in scan.discover(spark, str(inner)).collect()) == ["a.ts"]
