@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +12,11 @@ from .common import batch, drop_written, flat, held, map_batches, written
 
 #: A join with the labels broadcasts their ids up to so many rows (16 MB); beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+
+
 def _pair(paths: tuple[str, str], order: int, size: int) -> tuple:
     """Both models from the shared folder."""
-    got = []
-    for p in paths:
-        f, root = fs.FileSystem.from_uri(p)
-        t = pq.read_table(root, filesystem=f)
-        got.append(ngrams.Model(*(t.column(c).to_numpy() for c in ("n", "key", "p", "g")), order, size))
-    return tuple(got)
+    return tuple(ngrams.read_model(p, order, size) for p in paths)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, order: int = 4, least_chars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,4 +53,3 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, order: int = 4,
         return batch(schema, b.column(0), n_, t, g)
 
     return map_batches(src, score, "doc_id long, n_tokens long, ce_target double, ce_background double").withColumn("ce_diff", F.col("ce_target") - F.col("ce_background"))
-

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,3 +210,65 @@ def mean_loss(model: Model, table: np.ndarray, buf: np.ndarray, offsets: np.ndar
         loss[i:j] = -np.add.reduceat(model.score(key).astype(np.float64), starts[:-1]) / np.diff(starts)
         size[i:j] = np.diff(starts) - 1
     return loss, size
+
+
+#: Signs of a word that are looked at together; a longer run, as in scripts without spaces, is cut.
+WINDOW = 24
+
+
+def read_model(path: str, order: int, size: int) -> Model:
+    """A model from its written rows in the shared folder."""
+    f, root = fs.FileSystem.from_uri(path)
+    t = pq.read_table(root, filesystem=f, columns=["n", "key", "p", "g"])
+    return Model(*(t.column(c).to_numpy() for c in ("n", "key", "p", "g")), order, size)
+
+
+def spaces(table: np.ndarray) -> np.ndarray:
+    """By character number: whether it ends a word. The border (0) does."""
+    out = np.zeros(1 << BITS, bool)
+    out[0] = True
+    for c in (0x20, 9, 10, 11, 12, 13):
+        if table[c] > 1:
+            out[table[c]] = True
+    return out
+
+
+def word_windows(numbers_: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where windows begin: at each word, with the sign that ends it, and every ``WINDOW`` signs of a longer one."""
+    end = ends[numbers_]
+    first = np.concatenate([[True], end[:-1]])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(end)), 0))
+    return np.flatnonzero((np.arange(len(end)) - start) % WINDOW == 0)
+
+
+def worst_mean(value: np.ndarray, owner: np.ndarray, texts: int, share: float) -> np.ndarray:
+    """Per text the mean of the largest ``share`` of its values, one at least; nan without any."""
+    order = np.lexsort((-value, owner))
+    value, owner = value[order], owner[order]
+    n = np.bincount(owner, minlength=texts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    top = place < np.maximum(1, np.ceil(share * n))[owner]
+    k = np.bincount(owner[top], minlength=texts)
+    return np.where(k > 0, np.bincount(owner[top], weights=value[top], minlength=texts) / np.maximum(k, 1), np.nan)
+
+
+def text_scores(model: Model, other: Model | None, table: np.ndarray, buf: np.ndarray, offsets: np.ndarray, worst: float, alike: float) -> tuple[np.ndarray, ...]:
+    """Per text: mean loss and number of characters as ``mean_loss``; the mean loss per character of its ``worst`` share of words; the mean of the ``alike`` share of words for which ``other`` is surest against ``model``, in nats a word."""
+    n = len(offsets) - 1
+    loss, size, odd, like = np.zeros(n), np.zeros(n, np.int64), np.full(n, np.nan), np.full(n, np.nan)
+    ends = spaces(table)
+    for i, j in blocks(offsets, 1 << 19):
+        key, starts = keys_of(table, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.order)
+        own = -model.score(key).astype(np.float64)
+        loss[i:j] = np.add.reduceat(own, starts[:-1]) / np.diff(starts)
+        size[i:j] = np.diff(starts) - 1
+        number = key & ((1 << BITS) - 1)
+        at = word_windows(number, ends)
+        width = np.diff(np.concatenate([at, [len(key)]]))
+        word = ~(ends[number[at]] & (width == 1))  # not the space after another space
+        owner = np.searchsorted(starts, at, "right") - 1
+        odd[i:j] = worst_mean((np.add.reduceat(own, at) / width)[word], owner[word], j - i, worst)
+        if other is not None:
+            gain = own + other.score(key)
+            like[i:j] = worst_mean(np.add.reduceat(gain, at)[word], owner[word], j - i, alike)
+    return loss, size, odd, like

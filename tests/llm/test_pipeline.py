@@ -20,8 +20,26 @@ def words_of(text):
     return "".join(c.lower() if (c.isascii() and c.isalnum()) or ord(c) > 127 else " " for c in text).split()
 
 
+def measures(own, other, text, vocab):
+    """Mean loss of the most unusual hundredth of words, and how much likelier the toxic model finds its three hundredths."""
+    space = lambda c: c in " \t\n\v\f\r" and ord(c) in vocab
+    parts, start = [], 0
+    for i in range(len(text) + 1):
+        end = i == len(text) or space(text[i])
+        if end or i + 1 - start == 24:
+            if not (end and i == start and (i == 0 or space(text[i - 1]))):
+                parts.append((sum(own[start : i + 1]) / (i + 1 - start), sum(own[start : i + 1]) - sum(other[start : i + 1])))
+            start = i + 1
+    out = []
+    for k, share in ((0, 0.01), (1, 0.03)):
+        n = max(1, math.ceil(share * len(parts)))
+        out.append(sum(sorted((p[k] for p in parts), reverse=True)[:n]) / n if parts else -math.inf)
+    return out
+
+
 def keep_quality(docs, labels):
     trusted = {r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0}
+    toxic = {r["doc_id"] for r in labels if r["toxic"] == 1}
     by_lang = defaultdict(list)
     for d in docs:
         if d["doc_id"] in trusted:
@@ -33,14 +51,25 @@ def keep_quality(docs, labels):
             train.append(text) if k % 2 == 0 else held.append((lang, text))
     count = Counter(c for t in train for c in t)
     vocab = [ord(c) for c, n in sorted(count.items(), key=lambda x: (-x[1], ord(x[0]))) if n >= 2]
+    known = set(vocab)
     loss = brute_kneser_ney(train, 5, vocab)
+    bad = [d["text"] for d in docs if d["doc_id"] in toxic and d["lang"] in by_lang]
+    second = brute_kneser_ney(bad, 5, vocab) if bad else None
+
+    def score(t):
+        own = loss.signs(t)
+        a, b = measures(own, second.signs(t) if second else own, t, known)
+        return sum(own) / len(own), a, b if second else -math.inf
+
     limit = {}
     for lang in by_lang:
-        own = [loss(t) for x, t in held if x == lang]
+        own = [score(t) for x, t in held if x == lang]
         if len(own) >= 20:
-            limit[lang] = np.quantile(own, 0.995) + math.log(1.05)
-    every = np.quantile([loss(t) for _, t in held], 0.995) + math.log(1.05)
-    return [d for d in docs if d["text"] and loss(d["text"]) <= limit.get(d["lang"], every)]
+            at = [np.quantile([x[k] for x in own], 0.995) for k in range(3)]
+            wide = 0.35 * (1 + 20 / len(own))
+            limit[lang] = [at[0] + math.log(1.05), *(at[k] + wide * (at[k] - np.median([x[k] for x in own])) if k == 1 or second else math.inf for k in (1, 2))]
+    every = [np.quantile([loss(t) for _, t in held], 0.995) + math.log(1.05), math.inf, math.inf]
+    return [d for d in docs if d["text"] and all(x <= y for x, y in zip(score(d["text"]), limit.get(d["lang"], every)))]
 
 
 def drop_lines(docs):
