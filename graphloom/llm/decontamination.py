@@ -16,6 +16,8 @@ from .words import Sieve, word_hashes, word_spans
 JOINED = 5
 #: Pairs of a text and the items that are compared at a time.
 ROWS = 1 << 20
+#: Pairs of one word pair's places from which they are counted by a transform.
+DENSE = 1 << 16
 #: Bytes of test text that are held, and broadcast, at a time.
 BLOCK = 32 << 20
 _SCHEMA = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("item_words", pa.int64()), ("overlap", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())]
@@ -96,23 +98,64 @@ class Items:
             i = j
         return out
 
+    def _merge(self, docs: list, items: list, shifts: list, counts: list) -> None:
+        """Sums the pairs of each alignment, which bounds what is held by their number."""
+        doc, item, shift, n = (np.concatenate(x) for x in (docs, items, shifts, counts))
+        if len(doc):
+            order = np.lexsort((shift, item, doc))
+            doc, item, shift, n = doc[order], item[order], shift[order], n[order]
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(shift) != 0)]))
+            doc, item, shift, n = doc[new], item[new], shift[new], np.add.reduceat(n, new)
+        docs[:], items[:], shifts[:], counts[:] = [doc], [item], [shift], [n]
+
     def _compare(self, hits: list, i: int, j: int, words: np.ndarray, upto: np.ndarray, least: float, run: int) -> list[tuple[int, int, int, int, int, int]]:
         """Alignments of texts ``i`` to ``j``, each compared word by word if it has enough pairs."""
-        docs, items, shifts = [], [], []
-        for p, doc, lo, n, item, at in hits:
-            a, b = np.searchsorted(doc, [i, j])
-            p, doc, lo, n = p[a:b], doc[a:b], lo[a:b], n[a:b]
+        docs, items, shifts, counts = [], [], [], []
+
+        def expand(p, doc, lo, n, item, at):
             row = np.repeat(np.arange(len(p)), n)
             k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             docs.append(doc[row] - i)
             items.append(item[k])
             shifts.append(p[row] - at[k])
-        doc, item, shift = np.concatenate(docs), np.concatenate(items), np.concatenate(shifts)
-        if not len(doc):
+            counts.append(np.ones(len(row), np.int64))
+
+        for p, doc, lo, n, item, at in hits:
+            a, b = np.searchsorted(doc, [i, j])
+            p, doc, lo, n = p[a:b], doc[a:b], lo[a:b], n[a:b]
+            if j > i + 1 or n.sum() <= ROWS:
+                expand(p, doc, lo, n, item, at)
+                continue
+            # one text that repeats what items repeat: such pairs are counted for all alignments at once
+            seed, of, times = np.unique(lo, return_inverse=True, return_counts=True)
+            dense = times * n[np.unique(lo, return_index=True)[1]] > DENSE
+            for s in np.flatnonzero(dense).tolist():
+                own = np.flatnonzero(of == s)
+                place = p[own]
+                k = np.arange(lo[own[0]], lo[own[0]] + n[own[0]])
+                for t in np.unique(item[k]).tolist():
+                    there = at[k[item[k] == t]]
+                    shift, many = _correlate(place, there)
+                    docs.append(np.zeros(len(shift), np.int64))
+                    items.append(np.full(len(shift), t))
+                    shifts.append(shift)
+                    counts.append(many)
+            rest = np.flatnonzero(~dense[of])
+            ends = np.concatenate([[0], np.cumsum(n[rest])])
+            lo_ = 0
+            while lo_ < len(rest):
+                hi_ = max(lo_ + 1, int(np.searchsorted(ends, ends[lo_] + ROWS, "right")) - 1)
+                some = rest[lo_:hi_]
+                expand(p[some], doc[some], lo[some], n[some], item, at)
+                self._merge(docs, items, shifts, counts)
+                lo_ = hi_
+        if not docs or not sum(map(len, docs)):
             return []
+        self._merge(docs, items, shifts, counts)
+        (doc,), (item,), (shift,), (pairs,) = docs, items, shifts, counts
         back = int(shift.min())
         reach = int(shift.max()) - back + 1
-        key, pairs = np.unique((doc * len(self.ids) + item) * reach + (shift - back), return_counts=True)
+        key = (doc * len(self.ids) + item) * reach + (shift - back)
         of, shift = key // reach, key % reach + back
         item = of % len(self.ids)
         ok = pairs >= np.minimum(self.needed[item], JOINED)
@@ -147,6 +190,18 @@ class Items:
         return out
 
 
+def _correlate(place: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, pairs) of all pairs of a place in a text and one in an item, by a product of Fourier transforms."""
+    low, size, own = int(place.min()), int(place.max() - place.min()) + 1, int(there.max()) + 1
+    x, y = np.zeros(size), np.zeros(own)
+    x[place - low] = 1
+    y[own - 1 - there] = 1
+    n = 1 << int(size + own - 1).bit_length()
+    many = np.rint(np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(y, n), n)[: size + own - 1]).astype(np.int64)
+    on = np.flatnonzero(many)
+    return on - (own - 1) + low, many[on]
+
+
 def _segment(same: np.ndarray) -> tuple[int, int, int]:
     """The stretch with the best score, a match counting 1 and a substitution -2: it bridges single differences."""
     if not len(same):
@@ -173,23 +228,49 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, run: int
     The items are taken in blocks of ``block_bytes``; each block is indexed and broadcast, and all documents are run past
     it, so no block outgrows its bound and documents are never shuffled.
     """
-    spark = docs.sparkSession
-    test = items.select(items[item_col].cast("long").alias("i"), F.coalesce(items[item_text], F.lit("")).alias("t"))
-    total = test.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-2 * total // block_bytes))
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     out = None
-    for k in range(parts):
-        rows = test.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()
-        got = map_batches(src, _searcher(spark.sparkContext.broadcast(rows_of(rows)), least, run, least_words, least_bytes), "doc_id long, item_id long, matched long, item_words long, overlap double, start_word long, end_word long")
-        out = got if out is None else out.unionByName(got)
+    for shared in _blocks(docs.sparkSession, items, item_col, item_text, block_bytes):
+        find = _searcher(shared, least, run, least_words, least_bytes)
+
+        def search(b: pa.RecordBatch, find=find) -> pa.RecordBatch | None:
+            got = find(b.column(1))
+            if not got:
+                return None
+            d, i, n, m, s, e = (np.array(x) for x in zip(*got))
+            return batch(_SCHEMA, b.column(0).take(pa.array(d)), i, n, m, n / m, s, e)
+
+        rows = map_batches(src, search, "doc_id long, item_id long, matched long, item_words long, overlap double, start_word long, end_word long")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """The documents (all columns) that overlap no item; ``doc_id`` names a document. Rows with a null id stay."""
-    found = contaminated(docs, items, **settings).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_bad"], "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, run: int = 24, least_words: int = 4, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK, least_bytes: int = 12) -> DataFrame:
+    """The rows (all columns) whose text overlaps no item, by the rules of ``contaminated``.
+
+    Each row is judged by its own text where it is, so ids may be null or repeated, and nothing is shuffled or joined.
+    """
+    spark = docs.sparkSession
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at, out = docs.columns.index(text_col), docs
+    for shared in _blocks(spark, items, item_col, item_text, block_bytes):
+        find = _searcher(shared, least, run, least_words, least_bytes)
+
+        def clean(b: pa.RecordBatch, find=find) -> pa.RecordBatch:
+            bad = np.zeros(b.num_rows, bool)
+            bad[[d for d, *_ in find(b.column(at))]] = True
+            return b.filter(pa.array(~bad))
+
+        out = map_batches(out, clean, kinds)
+    return out
+
+
+def _blocks(spark, items: DataFrame, item_col: str, item_text: str, block_bytes: int) -> list:
+    """The items' texts in broadcast blocks of about ``block_bytes``."""
+    test = items.select(items[item_col].cast("long").alias("i"), F.coalesce(items[item_text], F.lit("")).alias("t"))
+    total = test.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-2 * total // block_bytes))
+    return [spark.sparkContext.broadcast(rows_of(test.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect())) for k in range(parts)]
 
 
 def rows_of(rows) -> tuple[list[int], bytes, np.ndarray]:
@@ -198,22 +279,20 @@ def rows_of(rows) -> tuple[list[int], bytes, np.ndarray]:
 
 
 def _searcher(shared, least: float, run: int, least_words: int, least_bytes: int):
+    """A function from a text column to (row, item id, matched, item's words, first, last word)."""
     name = uuid.uuid4().hex
 
     def load() -> Items:
         ids, text, offs = shared.value
         return Items(ids, np.frombuffer(text, np.uint8), offs, least_words, least, run, least_bytes)
 
-    def search(b: pa.RecordBatch) -> pa.RecordBatch | None:
+    def find(texts: pa.Array) -> list[tuple[int, int, int, int, int, int]]:
         index = held(name, load)
-        buf, offsets = flat(b.column(1))
+        buf, offsets = flat(texts)
         out = []
         for i, j in blocks(offsets, 1 << 20):
             words, upto = word_hashes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            out += [(i + d, *rest) for d, *rest in index.search(words, upto, least, run)]
-        if not out:
-            return None
-        d, i, n, m, s, e = (np.array(x) for x in zip(*out))
-        return batch(_SCHEMA, b.column(0).take(pa.array(d)), index.ids[i], n, m, n / m, s, e)
+            out += [(i + d, index.ids[t], *rest) for d, t, *rest in index.search(words, upto, least, run)]
+        return out
 
-    return search
+    return find
