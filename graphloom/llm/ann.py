@@ -97,32 +97,6 @@ class ColumnScan:
         return alive
 
 
-def nearest(self, q: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and squared distances of at least the ``k`` nearest other than id ``own``."""
-        n = len(self.ids)
-        first = min(n, 4 * k)
-        alive = np.arange(n)
-        if own is not None:
-            alive = alive[self.ids != own]
-        head, tail = alive[:first], alive[first:]
-        d = np.zeros(len(head))
-        for b, part in enumerate(self.parts):
-            d += ((part[:, head] - q[b * BLOCK_DIMS : b * BLOCK_DIMS + len(part)][:, None]) ** 2).sum(0)
-        limit = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
-        far = np.zeros(len(tail))
-        seen = 0
-        for b, part in enumerate(self.parts):
-            if not len(tail):
-                break
-            x = part if len(tail) == part.shape[1] else part[:, tail]
-            far = far + ((x - q[seen : seen + len(part)][:, None]) ** 2).sum(0)
-            seen += len(part)
-            ratio = 1.0 if seen == self.dim else seen / self.dim * (1 + EPSILON / np.sqrt(seen)) ** 2
-            ok = far <= limit * ratio
-            tail, far = tail[ok], far[ok]
-        return np.concatenate([head, tail]), np.concatenate([d, far])
-
-
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None = None, recall: float = 0.97, rows_per_list: int = 512, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Row per query and neighbour: (query_id, rank, vec_id, score); queries are the vectors whose id ``every`` divides.
 
@@ -135,8 +109,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
     this way is run against all vectors.
 
     Vectors that are null, zero or hold null or non-finite components take no part. All vectors must be of one size
-    (others than the most frequent size take no part). Repeated ids are candidates each. Fewer candidates than ``k``
-    give fewer rows; an empty table gives none.
+    (others than the most frequent size take no part). Rows of a repeated id are candidates each, and
+    queries each, with results of their own; a query's own id is no candidate of it. Fewer candidates than ``k`` give fewer
+    rows; an empty table gives none. Other columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     good = clean(vectors, id_col, vec_col)
@@ -171,7 +146,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
         out = []
         for lo in range(0, b.num_rows, 1024):
             part = b.slice(lo, 1024)
-            ids, v = part.column(0).to_numpy(), np.asarray(part.column(1).flatten()).reshape(-1, dim)
+            ids, v = part.column(1).to_numpy(), np.asarray(part.column(2).flatten()).reshape(-1, dim)
             q = lift(v, True)
             c, anchor, anchor_ids = shared.value
             near = _closest(q, c, probes)
@@ -181,11 +156,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
                 d[ids[:, None] == anchor_ids[None, :]] = np.inf
                 limit = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-9
             take = pa.array(np.repeat(np.arange(len(v)), probes))
-            out.append(pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.repeat(limit, probes)), pa.array(near.ravel(), pa.int32())], names=["query_id", "q", "bound", "list"]))
+            out.append(pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(3)), pa.array(np.repeat(limit, probes)), pa.array(near.ravel(), pa.int32())], names=["no", "query_id", "q", "bound", "list"]))
         return out
 
     member = written(map_batches(good, assign, "vec_id long, v array<double>, list int"), "vectors")
-    asking = map_batches(good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0), seek, "query_id long, q array<double>, bound double, list int")
+    # each query row has a number: rows of one id are queries of their own
+    queries = written(good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select(F.monotonically_increasing_id().alias("no"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
+    asking = map_batches(queries, seek, "no long, query_id long, q array<double>, bound double, list int")
 
     def splits(df: DataFrame, most: int) -> F.Column:
         """Parts of each list by its rows in ``df``; one unless it is long."""
@@ -199,11 +176,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
     base = member.withColumn("part", F.pmod(F.xxhash64("vec_id"), rows).cast("int")).select("*", F.explode(F.sequence(F.lit(0), asks - 1)).alias("turn"))
 
     def scan(key, left, right):
-        out = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        out = [pa.table({"no": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
         if left.num_rows and right.num_rows:
             ids = left.column("vec_id").to_numpy()
             v = np.asarray(left.column("v").combine_chunks().flatten()).reshape(-1, dim)
-            qid, bound = right.column("query_id").to_numpy(), right.column("bound").to_numpy()
+            no, qid, bound = (right.column(c).to_numpy() for c in ("no", "query_id", "bound"))
             q = np.asarray(right.column("q").combine_chunks().flatten()).reshape(-1, dim)
             index = ColumnScan(lift(v, False))
             for lo in range(0, len(q), 512):
@@ -216,27 +193,27 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probes: int | None
                 a, at, score = a[order], at[order], score[order]
                 place = np.arange(len(a)) - np.searchsorted(a, a)
                 top = place < k
-                out.append(pa.table({"query_id": qid[lo:hi][a[top]], "vec_id": ids[at[top]], "score": score[top]}))
+                out.append(pa.table({"no": no[lo:hi][a[top]], "query_id": qid[lo:hi][a[top]], "vec_id": ids[at[top]], "score": score[top]}))
         return pa.concat_tables(out)
 
     def best(asked: DataFrame) -> DataFrame:
-        asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id"), asks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), rows - 1)).alias("part"))
-        found = base.groupBy("list", "part", "turn").cogroup(asked.groupBy("list", "part", "turn")).applyInArrow(scan, "query_id long, vec_id long, score double")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        asked = asked.withColumn("turn", F.pmod(F.xxhash64("no"), asks).cast("int")).select("*", F.explode(F.sequence(F.lit(0), rows - 1)).alias("part"))
+        found = base.groupBy("list", "part", "turn").cogroup(asked.groupBy("list", "part", "turn")).applyInArrow(scan, "no long, query_id long, vec_id long, score double")
+        w = Window.partitionBy("no").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("no", "query_id", "rank", "vec_id", "score")
 
+    shown = ["query_id", "rank", "vec_id", "score"]
     out = best(asking)
     if n <= k:
-        return out
+        return out.select(*shown)
     # queries that found too few in their lists within their bound are asked of all lists without one
     out = written(out, "neighbours")
-    queries = good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    enough = out.where(F.col("rank") == k).select("query_id")
-    short = written(queries.join(enough, "query_id", "left_anti"), "short-queries")
+    enough = out.where(F.col("rank") == k).select("no")
+    short = written(queries.join(enough, "no", "left_anti"), "short-queries")
     if not short.take(1):
-        return out
-    again = short.select("query_id", "q", F.lit(float("inf")).alias("bound"), F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))).alias("list"))
-    return out.join(enough, "query_id", "left_semi").unionByName(best(again))
+        return out.select(*shown)
+    again = short.select("no", "query_id", "q", F.lit(float("inf")).alias("bound"), F.explode(F.sequence(F.lit(0), F.lit(len(c) - 1))).alias("list"))
+    return out.join(enough, "no", "left_semi").unionByName(best(again)).select(*shown)
 
 
 def inner(v: np.ndarray, q: np.ndarray) -> np.ndarray:
