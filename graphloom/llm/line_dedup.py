@@ -91,13 +91,13 @@ def line_counts(docs: DataFrame, text_col: str = "text", least_chars: int = 1) -
     return parts.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"))
 
 
-def build_shards(counts: DataFrame, keys_per_shard: int = 1_000_000) -> tuple[DataFrame, int]:
+def build_shards(counts: DataFrame, keys_per_shard: int = 1_000_000, least: int = 2) -> tuple[DataFrame, int]:
     """Writes one row per shard: a perfect hash over the shard's line hashes, with arrays of 64-bit fingerprints and counts.
 
-    Lines of only one document aren't stored, as a line that isn't found has that count; the fingerprint tells that it
-    isn't (the chance to mistake one is 2**-64).
+    Only lines of ``least`` documents or more are stored: that others aren't found is all that a probe needs of them. The
+    fingerprint tells that a line isn't there (the chance to mistake one is 2**-64).
     """
-    some = written(counts.where("n_docs > 1"), "lines")
+    some = written(counts.where(F.col("n_docs") >= max(2, least)), "lines")
     n = some.count()
     shards = max(1, -(-n // keys_per_shard))
 
@@ -168,12 +168,13 @@ def probe(path: str, shards: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, least_chars: int = 1, carry: list[str] = ()) -> DataFrame:
     """Row per document: (doc_id, n_lines, n_dropped, kept) and the columns in ``carry``: ``kept`` are the lines whose key fewer than ``min_docs`` documents have.
 
-    Keys of fewer than ``least_chars`` code points are always kept. A null or empty text is one empty line. Repeated
-    rows count as documents of their own; null ids stay null; an empty table gives none. Beyond one shuffle of line
+    Keys of fewer than ``least_chars`` code points are always kept. A null or empty text is one empty line. Each
+    row is a document of its own, whatever its id: repeated rows count one by one and give a row each; null ids stay null; an
+    empty table gives none. Other columns than those carried are left out. A text of any length is split whole. Beyond one shuffle of line
     hashes with counts, documents probe the written arrays where they are: no line is joined.
     """
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *carry)
-    shards, n = build_shards(line_counts(src, least_chars=least_chars))
+    shards, n = build_shards(line_counts(src, least_chars=least_chars), least=min_docs)
     path = shards._graphloom_path
 
     def keep(b: pa.RecordBatch) -> pa.RecordBatch:

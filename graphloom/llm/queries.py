@@ -14,6 +14,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents by the vocabulary of ``VOCABULARY``; see ``token_counts.token_counts``."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 1024)
 
 
@@ -24,10 +25,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id 20 divides; see ``ann.nearest`` for ties, odd vectors and repeated ids."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), 20, 20)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints, links and components of all documents; see ``simhash.near_duplicates``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -43,18 +46,22 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens; see ``packing.pack_documents``."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 2048, 0)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license templates found in all documents; see ``licenses.scan_licenses``."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten of them share, as digests; see ``line_dedup.dedup_lines``."""
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, least_chars=1))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards; see ``sharding.shard_documents``."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
@@ -82,15 +89,14 @@ def oracle_sql() -> dict[str, str]:
             select query_id, rank, vec_id, score from ranked where rank <= 20
         """,
         "op9_line_dedup": f"""
-            with lines as (
-                select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-                from documents),
-            keyed as (select doc_id, pos, line, trim({_AZ.format("line")}, {_WS}) as key from lines),
-            often as (select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10),
-            marked as (select k.doc_id, k.pos, k.line, o.key is not null as gone from keyed k left join often o on k.key = o.key)
+            with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+            lines as (
+                select r, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from docs),
+            keyed as (select r, doc_id, pos, line, trim({_AZ.format("line")}, {_WS}) as key from lines),
+            often as (select key from keyed where length(key) >= 1 group by key having count(distinct r) >= 10),
+            marked as (select k.r, k.doc_id, k.pos, k.line, o.key is not null as gone from keyed k left join often o on k.key = o.key)
             select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
-            from marked group by doc_id
+            from marked group by r, doc_id
         """,
     }
