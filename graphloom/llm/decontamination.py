@@ -49,7 +49,7 @@ class Items:
 
     def __init__(self, ids: list[int], buf: np.ndarray, offsets: np.ndarray, least_words: int, least: float, run: int, least_bytes: int = 12):
         words, upto = word_hashes(buf, offsets)
-        self.ids, self.words, self.upto = np.array(ids, np.int64), words, upto
+        self.ids, self.words, self.upto = ids, words, upto
         size = np.diff(upto)
         start, end, alone, _ = word_spans(buf, offsets)
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[upto])
@@ -223,7 +223,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, run: int
     several alignments together, or one stretch scores ``run``. Words are split at Unicode punctuation
     and white space; a character of a script without spaces is a word, and counts half a one in ``least_words``. Items of
     fewer than ``least_words`` must occur whole; those of one word or whose words have fewer than ``least_bytes`` bytes
-    (four Chinese characters) are too general to be searched; null texts have none. Repeated documents give a row each; no items or no documents give no rows.
+    (four Chinese characters) are too general to be searched; null texts have none, null ids of either stay null. Repeated documents give a row each; no items or no documents give no rows;
+    other columns are left out. A text is searched whole, however long or repetitive.
 
     The items are taken in blocks of ``block_bytes``; each block is indexed and broadcast, and all documents are run past
     it, so no block outgrows its bound and documents are never shuffled.
@@ -237,8 +238,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, run: int
             got = find(b.column(1))
             if not got:
                 return None
-            d, i, n, m, s, e = (np.array(x) for x in zip(*got))
-            return batch(_SCHEMA, b.column(0).take(pa.array(d)), i, n, m, n / m, s, e)
+            d, i, *rest = zip(*got)
+            n, m, s, e = (np.array(x) for x in rest)
+            return batch(_SCHEMA, b.column(0).take(pa.array(d)), list(i), n, m, n / m, s, e)
 
         rows = map_batches(src, search, "doc_id long, item_id long, matched long, item_words long, overlap double, start_word long, end_word long")
         out = rows if out is None else out.unionByName(rows)

@@ -672,6 +672,65 @@ def test_null_ids_and_repeated_rows(spark):
     assert sharding.shard_documents(df, 4).count() == 4
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.normal(size=8).tolist(), "clash", 1) for i in range(60)] + [(20, rnd.normal(size=8).tolist(), "clash", 1), (7, None, "x", 2)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string, no int"), 20, 20, probes=1000).collect()
+    per = Counter(r["query_id"] for r in got)
+    assert per == {0: 20, 20: 40, 40: 20}
+    twice = Counter((r["query_id"], r["rank"]) for r in got if r["query_id"] == 20)
+    assert all(twice[20, k] == 2 for k in range(1, 21))
+    f32 = lambda v: np.array(v, np.float32).astype(float)
+    own = {tuple(sorted(((-float(f32(v) @ f32(q)), i) for i, v, *_ in rows if v is not None and i != 20), reverse=False)[:20][k][1] for k in range(20)) for j, q, *_ in rows if j == 20}
+    ranked = defaultdict(list)
+    for r in got:
+        if r["query_id"] == 20:
+            ranked[r["rank"]].append(r["vec_id"])
+    assert all(sorted(ranked[k + 1]) == sorted(x[k] for x in own) for k in range(20))
+
+
+TABLES = "doc_id long, text string, lang string, source string, n_chars long, _id long, trains boolean, h1 long, f long, no long, k int, i long, t string, list int, kept string, n_docs long, item_id long, shard int, size long, perplexity double, loss double, worst double, _f long, _root long"
+
+
+def _operators(docs, labels, items):
+    """Every operator on documents, by number, with how many rows it gives per document (None: any)."""
+    return {
+        1: (token_counts.token_counts(docs, VOCABULARY), 1),
+        2: (lm_scoring.cross_entropy_difference(docs, labels.select("doc_id"), order=3), 1),
+        4: (simhash.near_duplicates(docs), 1),
+        5: (quality.classify(docs, labels), 1),
+        6: (decontamination.contaminated(docs, items), None),
+        7: (packing.pack_documents(docs, VOCABULARY), None),
+        8: (licenses.scan_licenses(docs), None),
+        9: (line_dedup.dedup_lines(docs), 1),
+        10: (sharding.shard_documents(docs, 4), 1),
+    }
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 7, 8, 9, 10])
+def test_every_operator_on_odd_tables(spark, n):
+    """Null ids and texts, repeated rows, columns with the names used inside, ties, a very long repetitive text, and empty tables."""
+    own = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, None), (3, ""), (None, None), (4, "word " * 20_000), (4, "other words of the same id"), (5, "Licensed under the MIT License.")]
+    rows = [(i, t, "en" if i != 2 else None, "s", len(t or ""), *([None] * 19)) for i, t in own]
+    docs = spark.createDataFrame(rows, TABLES)
+    labels = spark.createDataFrame([(1, 1, 0, 7), (4, 1, 0, 7), (None, 1, 0, 7), (3, 0, 1, 7), (1, 1, 0, 7)], "doc_id long, quality int, toxic int, _id long")
+    items = spark.createDataFrame([(1, "word " * 300, "x"), (None, None, "x"), (2, "", None), (2, "the same words are elsewhere", None)], "item_id long, text string, doc_id string")
+    got, per = _operators(docs, labels, items)[n]
+    found = got.collect()
+    if per:
+        assert Counter(r["doc_id"] for r in found) == Counter(i for i, _ in own)
+    elif n == 6:
+        assert {(r["doc_id"], r["item_id"], r["matched"]) for r in found} == {(4, 1, 300)}
+        left = decontamination.without_contaminated(docs, items)
+        assert left.columns == docs.columns and Counter(r["doc_id"] for r in left.collect()) == Counter(i for i, t in own if (t or "").split() != ["word"] * 20_000)
+    elif n == 7:
+        assert {(r["doc_id"]) for r in found} == {i for i, _ in own} and sum(r["length"] for r in found) == sum(len(ids_of(t)) + 1 for _, t in own)
+    none = docs.where("false")
+    assert _operators(none, labels.where("false"), items.where("false"))[n][0].count() == 0
+    if n in (5, 6):  # documents, but nothing to go by
+        assert _operators(docs, labels.where("false"), items.where("false"))[n][0].count() == (len(own) if n == 5 else 0)
+
+
 def test_span_hash_depends_on_content_alone():
     b = np.frombuffer(b"xxabcdyyabcd abc", np.uint8)
     h = span_hash(b, np.array([2, 8, 13]), np.array([6, 12, 16]))

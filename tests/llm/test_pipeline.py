@@ -139,3 +139,22 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert Counter(got) == Counter([(3, a), (5, b), (None, c), (7, d), (8, e), (9, None)])
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows and ids, a long repetitive text, extra columns in labels and benchmark, and empty documents."""
+    labels = spark.createDataFrame([(1, 1, 0, 7)], "doc_id long, quality int, toxic int, _id long")
+    items = spark.createDataFrame([(1, "some passage of a benchmark that nobody should train on", "x")], "item_id long, text string, lang string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "one text"), (None, "another one here"), (1, "a b c d"), (1, "something else altogether"), (2, None), (4, "word " * 20_000), (5, "here is some passage of a benchmark that nobody should train on, indeed")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    of = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert of(stages["line dedup"](spark, docs, str(tmp_path))) == Counter((i, t or "") for i, t in rows)
+    assert of(stages["SimHash near-dedup"](spark, docs, str(tmp_path))) == Counter(rows)
+    assert of(stages["benchmark decontamination"](spark, docs, str(tmp_path))) == Counter(rows[:-1])
+    assert set(of(stages["quality classifier"](spark, docs, str(tmp_path)))) <= {(i, t) for i, t in rows if t}
+    assert {r["doc_id"] for r in stages["best-fit packing"](spark, docs, str(tmp_path)).collect()} == {i for i, _ in rows}
+    for stage in stages.values():
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
