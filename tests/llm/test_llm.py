@@ -254,6 +254,44 @@ def test_quality_sample_of_a_hot_language(spark):
         assert [r["doc_id"] for r in sorted((r for r in got if r["lang"] == lang), key=lambda r: r["k"])] == want
 
 
+def test_quality_counts_every_labelled_document(spark):
+    """Over 3,000 trusted and 500 toxic documents of a language, and over 500 languages; the late ones have words and signs of their own."""
+    h = lambda i: (lambda x: x - (x >> 63 << 64))(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42))
+    rnd = random.Random(6)
+    say = lambda *words: " ".join(rnd.choice(words) for _ in range(4))
+    good, bad = sorted(range(3200), key=h), sorted(range(4000, 4600), key=h)
+    rows = [(i, "en", say("la", "mo", "ti") if k < 3000 else say("zebu", "gnu")) for k, i in enumerate(good)]
+    rows += [(i, "en", say("zonk", "ti") if k < 500 else say("blarg", "mo")) for k, i in enumerate(bad)]
+    rows += [(5000 + k, f"l{k:03}", "la mo" if k < 490 else "жжж эээ") for k in range(505)]
+    asked = ["la mo ti", "zebu", "blarg", "жжж", "zonk"]
+    rows += [(6000 + k, "en", t) for k, t in enumerate(asked)]
+    labels = spark.createDataFrame([(i, 1, int(4000 <= i < 5000)) for i, _, _ in rows if i < 6000], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(spark.createDataFrame(rows, "doc_id long, lang string, text string"), labels).collect()}
+    text = {i: t for i, _, t in rows}
+    train, held = [text[i] for i in (*good[::2], *range(5000, 5505))], [text[i] for i in good[1::2]]
+    count = Counter(c for t in train for c in t)
+    vocab = [ord(c) for c, n in sorted(count.items(), key=lambda x: (-x[1], ord(x[0]))) if n >= 2]
+    a, b = brute_kneser_ney(train, 5, vocab), brute_kneser_ney([text[i] for i in bad], 5, vocab)
+    for k, t in enumerate(asked):
+        assert math.log(got[6000 + k]["perplexity"]) == pytest.approx(a(t), rel=1e-3), t
+        if " " not in t:
+            assert got[6000 + k]["alike"] == pytest.approx(sum(a.signs(t)) - sum(b.signs(t)), rel=1e-3, abs=2e-3), t
+    assert math.log(got[6000]["threshold"]) == pytest.approx(np.quantile([a(t) for t in held], 0.995) + math.log(1.05), rel=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 400])
+def test_quality_thresholds_are_exact_quantiles(spark, n):
+    rnd = random.Random(n)
+    rows = [(lang, *(rnd.choice((rnd.random() * 9 - 3, 0.25)) for _ in range(2)), None if lang == "de" else rnd.random()) for lang in ("en", "de", "") for _ in range(n)]
+    got = {(r["lang"], r["measure"]): r for r in quality._quantiles(spark.createDataFrame(rows, "lang string, loss double, worst double, alike double"), 0.995).collect()}
+    want = {(lang, m): [r[1 + k] for r in rows if r[0] == lang] for k, m in enumerate(quality.MEASURES) for lang in ("en", "de", "") if (lang, m) != ("de", "alike")}
+    want["", "every"] = [r[1] for r in rows]
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert got[key]["n"] == len(values)
+        assert (got[key]["high"], got[key]["middle"]) == pytest.approx((np.quantile(values, 0.995), np.median(values)))
+
+
 def test_quality_of_odd_rows(spark):
     texts = [None, "", *["the usual words of the usual text " * 3] * 60, "###$$$%%%" * 20]
     docs = docs_of(spark, texts, lang=None)
