@@ -12,11 +12,13 @@ from .common import batch, drop_written, flat, held, map_batches, written
 
 #: A join with the labels broadcasts their ids up to so many rows (16 MB); beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+#: A worker reads texts by blocks of so many bytes and sums the counts of about so many n-grams, to bound its memory.
+BLOCK, HELD_COUNTS = 1 << 18, 500_000
 
 
 def _pair(paths: tuple[str, str], order: int, size: int) -> tuple:
-    """Both models from the shared folder."""
-    return tuple(ngrams.read_model(p, order, size) for p in paths)
+    """Both models from the shared folder, in files that are mapped."""
+    return tuple(ngrams.MappedModel(p, order, size) for p in paths)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, order: int = 4, least_chars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,7 +27,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, order: int = 4,
     Both models are ``order``-gram models of characters with the same vocabulary (what occurs ``least_chars`` times in
     the whole corpus), smoothing and end symbol. The background counts all documents, the target those whose id is in
     ``target`` (doc_id). A negative difference means closer to the target. Counts come from every row; per task they are
-    summed before the shuffle. The models are written to the shared folder, from which each worker reads them once.
+    summed before the shuffle. The models are written to the shared folder, from which each worker reads them once, by
+    pieces, into files on its local disk that are mapped: its own memory doesn't grow with them.
 
     A null or empty text is scored by its end symbol alone (0 tokens). Repeated rows count and are scored each. Without
     target rows the target model is uniform. An empty table gives none.
@@ -35,9 +38,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, order: int = 4,
     n = wanted.count()
     side = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
     flagged = src.join(side, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("hit"))
-    vocab = ngrams.vocabulary(ngrams.char_counts(src), least_chars)
+    vocab = ngrams.vocabulary(ngrams.char_counts(src, block=BLOCK), least_chars)
     size = len(vocab) + 2
-    grams = written(ngrams.gram_counts(flagged, vocab, order, ["hit"]), "gram-counts")
+    grams = written(ngrams.gram_counts(flagged, vocab, order, ["hit"], block=BLOCK, most=HELD_COUNTS), "gram-counts")
     back = written(ngrams.kneser_ney(grams.select("key", "c"), order, size), "background-model")
     aim = written(ngrams.kneser_ney(grams.select("key", F.col("c_hit").alias("c")), order, size), "target-model")
     drop_written(grams)

@@ -7,14 +7,19 @@ and the history is the key without its lowest 12 bits; both are exact.
 
 from __future__ import annotations
 
+import mmap
+import os
+import tempfile
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batch, blocks, flat, map_batches, release, written
+from .common import BLOCK_BYTES, U64, batch, blocks, flat, map_batches, release, written
 from .transducer import _code_points
 
 BITS = 12
@@ -22,13 +27,13 @@ MOST_CHARS = (1 << BITS) - 2
 _TAG = 60  # keys hold at most 5 characters; the order goes above
 
 
-def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(cp, n): how often each code point occurs."""
+def char_counts(docs: DataFrame, text_col: str = "text", block: int = BLOCK_BYTES) -> DataFrame:
+    """(cp, n): how often each code point occurs. Texts are read by blocks of ``block`` bytes."""
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         buf, offsets = flat(b.column(0))
         total = np.zeros(0x110000, np.int64)
-        for i, j in blocks(offsets):
+        for i, j in blocks(offsets, block):
             cp, _ = _code_points(buf[offsets[i] : offsets[j]])
             n = np.bincount(cp)
             total[: len(n)] += n
@@ -67,8 +72,11 @@ def keys_of(table: np.ndarray, buf: np.ndarray, offsets: np.ndarray, order: int)
     return key[pick], starts
 
 
-def gram_counts(docs: DataFrame, vocab: np.ndarray, order: int, flags: list[str] = (), text_col: str = "text") -> DataFrame:
-    """(key, c, c_<flag> for each boolean column in ``flags``), summed per task before the shuffle."""
+def gram_counts(docs: DataFrame, vocab: np.ndarray, order: int, flags: list[str] = (), text_col: str = "text", block: int = 1 << 20, most: int = 2_000_000) -> DataFrame:
+    """(key, c, c_<flag> for each boolean column in ``flags``), summed per task before the shuffle.
+
+    A task reads texts by blocks of ``block`` bytes and holds the counts of at most about ``most`` keys.
+    """
     names = ["c", *(f"c_{f}" for f in flags)]
     fields = [("key", pa.int64()), *((x, pa.int64()) for x in names)]
 
@@ -82,16 +90,16 @@ def gram_counts(docs: DataFrame, vocab: np.ndarray, order: int, flags: list[str]
         for b in batches:
             buf, offsets = flat(b.column(0))
             marks = [np.asarray(b.column(1 + k).fill_null(False)) for k in range(len(flags))]
-            for i, j in blocks(offsets, 1 << 20):
+            for i, j in blocks(offsets, block):
                 key, starts = keys_of(table, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
                 u, inv = np.unique(key, return_inverse=True)
                 own = [np.bincount(inv, minlength=len(u))]
                 for m in marks:
                     own.append(np.bincount(inv, weights=np.repeat(m[i:j], np.diff(starts)), minlength=len(u)).astype(np.int64))
                 parts.append((u, own))
-                if sum(len(p[0]) for p in parts) > 2_000_000:
+                if sum(len(p[0]) for p in parts) > most:
                     parts = [merge(parts)]
-                    if len(parts[0][0]) > 1_500_000:
+                    if len(parts[0][0]) > most * 3 // 4:
                         yield batch(fields, parts[0][0], *parts[0][1])
                         parts = []
         if parts:
@@ -141,9 +149,21 @@ class Table:
     """Open hash table from int64 keys to float32 values, probed in bulk."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(np.ceil(np.log2(max(len(keys), 1) * 2))))
+        self._make(len(keys))
+        self.add(keys, values)
+
+    def _make(self, rows: int) -> None:
+        self.bits = max(8, int(np.ceil(np.log2(max(rows, 1) * 2))))
         size = 1 << self.bits
-        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+        self.keys, self.values = self._arrays(size)
+        self.keys.fill(-1)
+
+    def _arrays(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.empty(size, np.int64), np.zeros(size, np.float32)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Further keys, none of which is there yet."""
+        size = len(self.keys)
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
             free = todo[self.keys[slot[todo]] < 0]
@@ -172,15 +192,40 @@ class Table:
         return out
 
 
+class MappedTable(Table):
+    """A table for ``rows`` keys, to be added, in a file without a name on the local disk.
+
+    Its pages are the system's, which may write them back and drop them, so that a worker's own memory doesn't grow with
+    the table. The disk is reserved first, where the system can: if it is full there is an error, not a signal at some later write.
+    """
+
+    def __init__(self, rows: int):
+        self._make(rows)
+
+    def _arrays(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        at = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]  # Spark sets it for its Python workers
+        with tempfile.TemporaryFile(dir=at if os.path.isdir(at) else None) as f:
+            f.truncate(size * 12)
+            if hasattr(os, "posix_fallocate"):
+                os.posix_fallocate(f.fileno(), 0, size * 12)
+            whole = mmap.mmap(f.fileno(), size * 12)
+        return np.frombuffer(whole, np.int64, size), np.frombuffer(whole, np.float32, size, size * 8)
+
+
 class Model:
     """Log-probabilities from model rows as arrays (n, key, p, g)."""
 
     def __init__(self, n: np.ndarray, key: np.ndarray, p: np.ndarray, g: np.ndarray, order: int, vocab_size: int):
-        is_p = ~np.isnan(p)
         self.order, self.floor = order, -np.log(vocab_size)
+        own, rest = self._logs(n, key, p, g)
+        self.p, self.g = Table(*own), Table(*rest)
+
+    @staticmethod
+    def _logs(n: np.ndarray, key: np.ndarray, p: np.ndarray, g: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Keys and values of the table of probabilities and of that of weights."""
+        is_p = ~np.isnan(p)
         tag = key | (n.astype(np.int64) << _TAG)
-        self.p = Table(tag[is_p], np.log(p[is_p]).astype(np.float32))
-        self.g = Table(tag[~is_p], np.log(np.maximum(g[~is_p], 1e-9)).astype(np.float32))
+        return (tag[is_p], np.log(p[is_p]).astype(np.float32)), (tag[~is_p], np.log(np.maximum(g[~is_p], 1e-9)).astype(np.float32))
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """Natural-log probability of each key's last character after the others."""
@@ -202,10 +247,26 @@ class Model:
         return out
 
 
+class MappedModel(Model):
+    """A model read from its written rows by pieces of at most 65,536 into mapped tables: of any size, a worker's own memory holds a piece."""
+
+    def __init__(self, path: str, order: int, vocab_size: int):
+        f, root = fs.FileSystem.from_uri(path)
+        rows = pads.dataset(root, filesystem=f, format="parquet")
+        pieces = lambda *columns: rows.to_batches(columns=list(columns), batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False)
+        weights = sum(b.column(0).null_count for b in pieces("p"))
+        self.order, self.floor = order, -np.log(vocab_size)
+        self.p, self.g = MappedTable(rows.count_rows() - weights), MappedTable(weights)
+        for b in pieces("n", "key", "p", "g"):
+            own, rest = self._logs(*(x.to_numpy(zero_copy_only=False) for x in b.columns))
+            self.p.add(*own)
+            self.g.add(*rest)
+
+
 def mean_loss(model: Model, table: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's mean loss per character (nats, the end counted as one) and number of characters."""
     loss, size = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-    for i, j in blocks(offsets, 1 << 19):
+    for i, j in blocks(offsets, 1 << 17):
         key, starts = keys_of(table, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.order)
         loss[i:j] = -np.add.reduceat(model.score(key).astype(np.float64), starts[:-1]) / np.diff(starts)
         size[i:j] = np.diff(starts) - 1

@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -191,6 +193,55 @@ def test_scores_without_target_rows(spark):
     assert len(got) == len(TEXTS) and all(math.isfinite(r["ce_target"]) for r in got)
 
 
+def test_models_of_any_size_are_no_memory_of_a_worker(tmp_path):
+    """Both models of 600,000 rows, in several files, are scored as when held; arrays of the worker's own stay small meanwhile (held, they take 30 MB)."""
+    rnd = np.random.default_rng(5)
+    rows, order = 600_000, 4
+    key = np.unique(rnd.integers(0, 1 << 48, rows + 9))[:rows]
+    n, is_p = rnd.integers(1, order + 1, rows).astype(np.int32), rnd.random(rows) < 0.7
+    key &= (1 << (12 * n.astype(np.int64))) - 1
+    first = np.unique(key | (n.astype(np.int64) << 50), return_index=True)[1]
+    p, g = np.where(is_p, rnd.random(rows), np.nan), np.where(is_p, np.nan, rnd.random(rows))
+    for k, at in enumerate(np.array_split(first, 3)):
+        cols = (n[at], key[at], *(pa.array(x[at], from_pandas=True) for x in (p, g)))
+        pq.write_table(pa.table(dict(zip(("n", "key", "p", "g"), cols))), tmp_path / f"part-{k}.parquet")
+    (tmp_path / "_SUCCESS").touch()
+    path = f"file://{tmp_path}"
+    want = ngrams.read_model(path, order, 4096)
+    tracemalloc.start()
+    one, other = lm_scoring._pair((path, path), order, 4096)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 2 << 20 and peak < 12 << 20
+    asked = np.concatenate([key[(n == order) & is_p][:5000], key[n < order][:5000], rnd.integers(0, 1 << 48, 5000)])
+    assert (one.score(asked) == want.score(asked)).all() and (other.score(asked) == want.score(asked)).all()
+
+
+def test_texts_are_scored_by_small_blocks(spark):
+    docs = docs_of(spark, TEXTS)
+    vocab = ngrams.vocabulary(ngrams.char_counts(docs), 2)
+    rows = ngrams.kneser_ney(ngrams.gram_counts(docs, vocab, 4), 4, len(vocab) + 2).toArrow()
+    model = ngrams.Model(*(rows.column(c).to_numpy() for c in ("n", "key", "p", "g")), 4, len(vocab) + 2)
+    texts = [TEXTS[i % len(TEXTS)] * (150 + i % 7) for i in range(1000)]
+    table, (buf, offsets) = ngrams.numbers(vocab), flat(pa.array(texts))
+    tracemalloc.start()
+    got, n = ngrams.mean_loss(model, table, buf, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(buf) > 1 << 20 and peak < 24 << 20
+    for i in range(0, 1000, 97):
+        alone, m = ngrams.mean_loss(model, table, *flat(pa.array([texts[i]])))
+        assert (got[i], n[i]) == (pytest.approx(alone[0]), m[0])
+
+
+def test_counts_are_the_same_by_small_pieces(spark):
+    docs = docs_of(spark, [random_text(random.Random(i), 200) for i in range(300)]).selectExpr("text", "doc_id % 3 = 0 as hit")
+    vocab = ngrams.vocabulary(ngrams.char_counts(docs), 2)
+    assert (ngrams.vocabulary(ngrams.char_counts(docs, block=100), 2) == vocab).all()
+    whole, pieces = ({tuple(r) for r in ngrams.gram_counts(docs, vocab, 4, ["hit"], **more).collect()} for more in ({}, {"block": 500, "most": 2000}))
+    assert whole == pieces and len(whole) > 2000
+
+
 def test_quality_on_held_out_documents(spark):
     """Trained on labels of even ids, tested on odd ids; toxic documents of good quality apart from clean ones. (Of the few toxic ones of a smaller table too little can be learnt.)"""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
