@@ -63,8 +63,7 @@ def file_graph(tables: dict[str, DataFrame], root: str = ".") -> graph.CodeGraph
     known = tables["files"].select("id", "path")
     all_imports = imports_with_files(tables)
     imports = all_imports.where(~F.col("source").startswith("@annotation:"))
-    found = resolve.resolve_all(imports.select("import_id", "from_id", "from_path", "language", "source"), known, "", configs.tsconfig(_setting(root, "tsconfig.json")), configs.cargo(_setting(root, "Cargo.toml")))
-    found = found.join(imports.select("import_id", "imported_name", "is_type_only", "line_start", "is_dynamic"), "import_id")
+    found = resolve.resolve_all(imports.select("import_id", "from_id", "from_path", "language", "source", "imported_name", "is_type_only", "line_start"), known, "", configs.tsconfig(_setting(root, "tsconfig.json")), configs.cargo(_setting(root, "Cargo.toml")))
     rows = found.where("status = 'resolved'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("imported_name").alias("name"), "is_type_only", F.col("source").startswith("@mod:").alias("is_mod_declaration"), F.col("line_start").alias("line"))
     lost = found.where("status <> 'resolved'").select(F.col("from_id").alias("file_id"), F.col("source").alias("import_path"), F.when(F.col("status") == "external", "external").otherwise(F.col("detail")).alias("kind"), "detail", F.col("line_start").alias("line"))
     annotated = graph.entry_points_by_annotation(tables["imports"], annotations)

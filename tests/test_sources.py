@@ -409,3 +409,30 @@ def test_ignore_files_of_folders_above(spark, tmp_path):
         (inner / name).write_text("x")
     (tmp_path / ".gitignore").write_text("b.ts\n/pkg/app/gen/\n/other/a.ts\n")
     assert sorted(r["path"] for r in scan.discover(spark, str(inner)).collect()) == ["a.ts"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_meet_their_targets_within_the_file(spark):
+    rows = [(1, "typescript", "function a() { b(); c(); }\nfunction b() {}"), (2, "typescript", "function b() { c(); }"), (3, "typescript", "function a() { b(); c(); }\nfunction b() {}")]
+    parsed = extract.extract(spark.createDataFrame(rows, "file_id long, language string, content string"), ("symbols", "refs"))
+    assert set(extract.tables(parsed)) == {"symbols", "refs"}
+    named = extract.named_refs(parsed)
+    assert "Join" not in _plan(named) and "Join" not in _plan(extract.tables(parsed)["refs"])  # a join's side would be broadcast by its size on disk, a small part of its size in memory
+    assert sorted(map(tuple, named.collect())) == [(1, "a", "b", "call"), (3, "a", "b", "call")]
+
+
+def test_files_are_spread_whatever_came_before(spark):
+    files = spark.createDataFrame([(1, "rust", "fn a() {}")], "file_id long, language string, content string")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    assert "xxhash64(file_id" in _plan(extract.extract(files.repartition(n, "file_id")))
+
+
+def test_columns_of_imports_stay(spark):
+    known = spark.createDataFrame([(1, "a/x.ts"), (2, "a/x.tsx"), (3, "a/x/index.ts"), (4, "a/y/index.js"), (5, "a/x"), (6, "lib/z.ts"), (7, "src/z.ts"), (8, "lib/w/index.ts"), (9, "src/w.ts")], "id long, path string")
+    asked = spark.createDataFrame([(1, 9, "a/m.ts", "./x", "p"), (2, 9, "a/m.ts", "./y", "q"), (3, 9, "a/m.ts", "./x.tsx", "r"), (4, 9, "a/m.ts", "#/z", "s"), (5, 9, "a/m.ts", "#/w", "t"), (6, 9, "a/m.ts", "#/v", None)], "import_id long, from_id long, from_path string, source string, name string")
+    config = resolve.TsConfig.of({"paths": {"#/*": ["./lib/*", "src/*"]}})
+    got = {r["import_id"]: (r["to_id"], r["name"]) for r in resolve.resolve_ts(asked, known, config).collect()}
+    assert got == {1: (1, "p"), 2: (4, "q"), 3: (2, "r"), 4: (6, "s"), 5: (8, "t"), 6: (None, None)}
