@@ -120,21 +120,29 @@ def _tarjan(adjacent: dict[int, list[int]]) -> list[list[int]]:
     return out
 
 
+def _parts(src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[int]]:
+    """Ids on cycles, and the smallest member of each one's component."""
+    for _ in range(20):  # most nodes of a code base are on no cycle
+        keep = np.isin(src, dst) & np.isin(dst, src)
+        if keep.all():
+            break
+        src, dst = src[keep], dst[keep]
+    adjacent = defaultdict(list)
+    for u, v in zip(src.tolist(), dst.tolist()):
+        adjacent[u].append(v)
+    found = [(i, low) for part in _tarjan(adjacent) if len(part) > 1 for low in (min(part),) for i in part]
+    return [x[0] for x in found], [x[1] for x in found]
+
+
+_COMPONENT = pa.schema([("id", pa.int64()), ("component", pa.int64())])
+
+
 def _in_one_task(edges: DataFrame) -> DataFrame:
     """``components`` of a written table (src, dst) by one walk."""
 
     def tarjan(batches):
         src, dst = (c.to_numpy() for c in _columns(batches, pa.int64(), pa.int64()))
-        for _ in range(20):  # most nodes of a code base are on no cycle
-            keep = np.isin(src, dst) & np.isin(dst, src)
-            if keep.all():
-                break
-            src, dst = src[keep], dst[keep]
-        adjacent = defaultdict(list)
-        for u, v in zip(src.tolist(), dst.tolist()):
-            adjacent[u].append(v)
-        rows = [(i, min(part)) for part in _tarjan(adjacent) if len(part) > 1 for i in part]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _parts(src, dst)], schema=_COMPONENT)
 
     return edges.coalesce(1).mapInArrow(tarjan, "id long, component long")
 
@@ -142,7 +150,61 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(id, component): strongly connected components of two nodes or more, named by their smallest member."""
     edges = written(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null and src <> dst"), "scc-edges")
-    return _in_one_task(edges) if edges.count() <= small else _colour(edges, small)
+    n = edges.count()
+    return _in_one_task(edges) if n <= small else _by_ranges(edges, n, small)
+
+
+def _cuts(edges: DataFrame, n: int, small: int) -> np.ndarray:
+    """Ids c such that no edge leads from below c to c or above (or none the other way): no cycle has ids on both sides.
+
+    Ids are dealt to equal ranges, some for each ``small`` edges. Each range yields how far its edges reach, and the first, middle
+    and last id that none of them spans; the driver drops those that edges of ranges before span. It gets a row a range.
+    """
+    low, high, up, down = edges.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst")), F.sum(F.when(F.col("src") < F.col("dst"), (F.col("dst") - F.col("src")).cast("double"))), F.sum(F.when(F.col("src") > F.col("dst"), (F.col("src") - F.col("dst")).cast("double")))).first()
+    ranges = min(max(8 * n // max(small, 1), 64), 1 << 17)
+    bits = max(((high - low) // ranges).bit_length(), 0)
+    a, b = ("src", "dst") if (up or 0) <= (down or 0) else ("dst", "src")  # the direction that spans less
+    own = edges.where(F.col(a) < F.col(b)).select(F.shiftright(a, bits).alias("range"), F.col(a).alias("a"), F.col(b).alias("b"))
+    # of the edges of one id only the longest matters, so hot ids are no burden
+    own = own.groupBy("range", "a").agg(F.max("b").alias("b"))
+
+    def gaps(t: pa.Table) -> pa.Table:
+        order = np.argsort(x := t["a"].to_numpy())
+        x, reach = x[order], np.maximum.accumulate(t["b"].to_numpy()[order])
+        free = np.concatenate([x[:1], x[1:][x[1:] > reach[:-1]], reach[-1:] + 1])
+        cuts = np.unique(free[[0, len(free) // 2, -1]])
+        return pa.table({"range": t["range"][:1], "reach": reach[-1:], "cuts": pa.array([cuts.tolist()], pa.list_(pa.int64()))})
+
+    rows = sorted(own.groupBy("range").applyInArrow(gaps, "range long, reach long, cuts array<long>").collect())
+    out, reach = [], low
+    for k, (_, far, cuts) in enumerate(rows):
+        after = rows[k + 1][0] << bits if k + 1 < len(rows) else None  # where the next range begins
+        out += [c for c in cuts if c > reach and (after is None or c <= after)]
+        reach = max(reach, far)
+    return np.unique(np.array(out, np.int64))
+
+
+def _by_ranges(edges: DataFrame, n: int, small: int) -> DataFrame:
+    """Components of a graph beyond one task: edges that cross a cut are on no cycle; between cuts each part is walked by itself, and parts of more than ``small`` edges by ``_colour``."""
+    cuts = _cuts(edges, n, small)
+
+    def inside(batches):
+        for t in batches:
+            src, dst = (c.to_numpy() for c in t.columns)
+            at = np.searchsorted(cuts, src, "right")
+            keep = at == np.searchsorted(cuts, dst, "right")
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (at, src, dst)], names=["part", "src", "dst"])
+
+    near = written(edges.mapInArrow(inside, "part long, src long, dst long"), "scc-near")
+    drop_written(edges)
+    large = [r[0] for r in near.groupBy("part").count().where(F.col("count") > small).select("part").collect()]  # fewer than the edges by ``small``, and than the ranges
+
+    def walk(t: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in _parts(t["src"].to_numpy(), t["dst"].to_numpy())], schema=_COMPONENT)
+
+    is_large = F.col("part").isin(large) if large else F.lit(False)
+    found = near.where(~is_large).groupBy("part").applyInArrow(walk, "id long, component long")
+    return found.unionByName(_colour(near.where(is_large).select("src", "dst"), small)) if large else found
 
 
 def _colour(edges: DataFrame, small: int) -> DataFrame:

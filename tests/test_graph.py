@@ -272,3 +272,13 @@ def test_times_in_utc_whatever_the_zone(spark):
         got = spark.createDataFrame([(0,), (1700000001,), (-1,)], "s long").select(post.iso_utc(F.col("s"))).collect()
         assert [r[0] for r in got] == ["1970-01-01T00:00:00Z", "2023-11-14T22:13:21Z", "1969-12-31T23:59:59Z"]
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_cycles_between_cuts(spark, monkeypatch):
+    """Cycles within ranges of ids, and edges between ranges, of which the far larger part is dropped before any walk; no rounds of joins."""
+    edges = [(8 * b + i, 8 * b + (i + 1) % 5) for b in range(60) for i in range(5)] + [(8 * b + 6, 8 * (b // 2) + 1) for b in range(60)] + [(8 * b + 1, 8 * (b // 3) + 7) for b in range(60)]
+    monkeypatch.setattr(iterate, "_colour", None)
+    got = iterate.components(spark.createDataFrame(edges, "src long, dst long"), 40).collect()
+    assert sorted(map(tuple, got)) == [(8 * b + i, 8 * b) for b in range(60) for i in range(5)]
+    up = [(v, u) for u, v in edges]
+    assert sorted(map(tuple, iterate.components(spark.createDataFrame(up, "src long, dst long"), 40).collect())) == sorted(map(tuple, got))
