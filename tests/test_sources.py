@@ -436,3 +436,19 @@ def test_columns_of_imports_stay(spark):
     config = resolve.TsConfig.of({"paths": {"#/*": ["./lib/*", "src/*"]}})
     got = {r["import_id"]: (r["to_id"], r["name"]) for r in resolve.resolve_ts(asked, known, config).collect()}
     assert got == {1: (1, "p"), 2: (4, "q"), 3: (2, "r"), 4: (6, "s"), 5: (8, "t"), 6: (None, None)}
+
+
+def test_wildcards_of_large_packages(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PACKAGE", 4)
+    known = spark.range(30).selectExpr("id", "concat('src/main/java/org/', if(id < 25, 'a', 'b'), '/S', id, '.java') as path")
+    asked = spark.createDataFrame([(1, 3, "x", "org.a.*"), (2, 27, "x", "org.a.*"), (3, 27, "x", "org.b.*"), (4, 3, "x", "org.c.*")], "import_id long, from_id long, from_path string, source string")
+    got = resolve.resolve_java(asked, known)
+    assert sorted((r["import_id"], r["to_id"] if r["to_id"] is not None else -1) for r in got.collect()) == [*((1, k) for k in range(25) if k != 3), *((2, k) for k in range(25)), *((3, k) for k in range(25, 30) if k != 27), (4, -1)]
+
+
+def test_wildcard_query_reads_every_file(spark, sf):
+    """Pairs of all files of each package, and a row for the missing one, not those of one region's entry points."""
+    from graphloom.plans import catalog, virtual
+
+    sizes = [r["count"] for r in virtual.nodes(spark, sf).groupBy(F.split("path", "/")[1]).count().collect()]
+    assert catalog.queries()["res11_java_wildcards"](spark, sf).count() == sum(n * n for n in sizes)
