@@ -209,7 +209,7 @@ def jn2_references_resolved(spark, d):
 
 @query("select source_id, target_id, kind from refs where source_id in (select id from symbols where file_id = 2) or target_id in (select id from symbols where file_id = 2)")
 def jn3_references_touching_file(spark, d):
-    own = virtual.symbols(spark, d).where("file_id = 2").select("id")
+    own = F.broadcast(virtual.symbols(spark, d).where("file_id = 2").select("id"))  # of one file; else all references are shuffled and sorted to meet them
     r = virtual.refs(spark, d)
     return r.join(own, r.source_id == own.id, "left_semi").unionByName(r.join(own, r.target_id == own.id, "left_semi")).distinct()
 

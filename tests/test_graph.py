@@ -282,3 +282,14 @@ def test_cycles_between_cuts(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [(8 * b + i, 8 * b) for b in range(60) for i in range(5)]
     up = [(v, u) for u, v in edges]
     assert sorted(map(tuple, iterate.components(spark.createDataFrame(up, "src long, dst long"), 40).collect())) == sorted(map(tuple, got))
+
+
+def test_references_of_one_file_are_filtered_where_they_are_read(spark, sf):
+    from graphloom.plans import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        plan = catalog.queries()["jn3_references_touching_file"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
